@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsift.llm import mixing, neighbours, setjoin, skeleton, tokens, topn
+from colsift.llm import boilerplate, mixing, neighbours, sentences, setjoin, skeleton, tokens, topn
 from colsift.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_blocks(table(spark, sf_dir, "table_meta"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.nearest_matches(table(spark, sf_dir, "match_rows"), 10).drop("d")
 
@@ -34,7 +38,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skeleton.with_skeleton(skeleton.table_cells(table(spark, sf_dir, "raw_tables")), "cell").drop("cell")
+    return skeleton.with_skeleton(skeleton.table_cells(table(spark, sf_dir, "raw_tables")), "cell").drop("cell").dropDuplicates(["table_id", "set_id", "pos"])
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +58,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares)
+    for f in (p1_found, p2_found, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
 }
 
 _PAIRS = """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsift.runtime import ship
+from colsift.runtime import cut, partitions_for, ship
 
 #: Tokens of an enumerated subset, and the largest set that enumerates subsets.
 SUBSET = 2
@@ -69,8 +69,12 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int = 1) -> tuple[
     spark = sets.sparkSession
     ship(spark)
     clean = sets.where("id is not null and tokens is not null").select("id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
-    clean = clean.where(F.size("tokens") >= min_size)
-    classes = clean.groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # One exchange by the set itself serves repeats, classes and members; the result is written once.
+    placed = clean.where(F.size("tokens") >= min_size).repartition(partitions_for(spark), "tokens").select("tokens", "id").distinct()
+    grouped = placed.groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    joined = placed.join(grouped, "tokens").select("id", "rep", "copies", F.size("tokens").alias("n"), F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
+    members = cut(joined)
+    classes = members.where("tokens is not null")
     # The frequent tokens are few by FREQUENT_SHARE, so they may go to the driver and to all tasks.
     n_sets = classes.count()
     floor = max(FREQUENT_LEAST, math.ceil(FREQUENT_SHARE * n_sets))
@@ -102,14 +106,13 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int = 1) -> tuple[
     both = both.withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
     union = F.size("ta") + F.size("tb") - F.col("overlap")
     pairs = both.where(F.col("overlap") >= union * threshold - 1e-9).select("rep_a", "rep_b", "overlap")
-    members = clean.join(classes, "tokens").select("id", "rep", F.size("tokens").alias("n"), "copies")
-    return pairs, members
+    return pairs, members.drop("tokens")
 
 
 def column_sets(raw_tables: DataFrame) -> DataFrame:
     """(id, tokens): the distinct cells of every column, ids made of table and set number."""
-    tables = raw_tables.where("table_id is not null and relation is not null").select("table_id", "relation").dropDuplicates(["table_id"])
-    cols = tables.select("table_id", F.posexplode("relation").alias("set_id", "cells")).where("cells is not null")
+    # Hashed before anything is exchanged: repeated rows of a table give equal (id, tokens).
+    cols = raw_tables.where("table_id is not null and relation is not null").select("table_id", F.posexplode("relation").alias("set_id", "cells")).where("cells is not null")
     values = F.array_distinct(F.filter("cells", lambda c: c.isNotNull() & (c != "")))
     return cols.select(column_id("table_id", "set_id").alias("id"), F.transform(values, lambda c: F.xxhash64(c)).alias("tokens"))
 

@@ -76,9 +76,8 @@ def with_skeleton(df: DataFrame, text_col: str, out_col: str = "skeleton") -> Da
 
 
 def table_cells(raw_tables: DataFrame) -> DataFrame:
-    """(table_id, set_id, pos, cell) of every non-null cell; repeated rows of a table count once."""
-    one = raw_tables.where("table_id is not null and relation is not null").select("table_id", "relation").dropDuplicates(["table_id"])
-    cols = one.select("table_id", F.posexplode("relation").alias("set_id", "cells"))
+    """(table_id, set_id, pos, cell) of every non-null cell, once for each time its table is there."""
+    cols = raw_tables.where("table_id is not null and relation is not null").select("table_id", F.posexplode("relation").alias("set_id", "cells"))
     return cols.select("table_id", "set_id", F.posexplode("cells").alias("pos", "cell")).where("cell is not null")
 
 
@@ -89,7 +88,7 @@ def look_alike_cells(raw_tables: DataFrame, ref_items: DataFrame) -> DataFrame:
     """
     labels = with_skeleton(ref_items.where("item_id is not null and label is not null").select("item_id", "label").distinct(), "label").where("skeleton <> ''")
     cells = with_skeleton(table_cells(raw_tables), "cell")
-    return cells.join(labels, "skeleton").where("cell <> label").select("table_id", "set_id", "pos", "item_id", "cell", "skeleton")
+    return cells.join(labels, "skeleton").where("cell <> label").select("table_id", "set_id", "pos", "item_id", "cell", "skeleton").distinct()
 
 
 def same_looking(cells: DataFrame) -> DataFrame:
