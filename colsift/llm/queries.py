@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colsift.llm import boilerplate, mixing, neighbours, sentences, setjoin, skeleton, tokens, topn
+from colsift.llm import boilerplate, language, mixing, neighbours, sentences, setjoin, skeleton, tokens, topn
 from colsift.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.nearest_matches(table(spark, sf_dir, "match_rows"), 10).drop("d")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(*(table(spark, sf_dir, t) for t in ("table_meta", "raw_tables", "lang_samples")))
+
+
+def p3_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(*(table(spark, sf_dir, t) for t in ("table_meta", "raw_tables", "lang_samples")))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, sf_dir, "cell_vectors"), k=5, max_distance=0.20)
 
@@ -64,7 +74,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p2_found, p3_found, p3_parts, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
 }
 
 _PAIRS = """
