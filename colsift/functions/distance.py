@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a column used twice is else computed twice, or once for each element of a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squared_euclidean(a: Column, b: Column) -> Column:
     """Sum of squared differences in float64; no square root is taken anywhere in the engine."""
     diff = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
@@ -31,8 +36,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """A vector of length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda w, n: F.transform(w, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    return let(v, lambda w: let(norm(w), lambda n: scaled(w, n)))
 
 
 def relatively_close(a: Column, b: Column, tolerance: float = 1e-5) -> Column:

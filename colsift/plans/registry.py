@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from colsift.plans import index, io, search, text  # noqa: F401  each module registers its queries
+from colsift.plans.search import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "a1_top_columns"
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
