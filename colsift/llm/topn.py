@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsift.runtime import shared_path, ship
+from colsift.runtime import partitions_for, shared_path, ship
 
 #: Uncompressed bytes of a row group; the unit that statistics describe and skipping saves.
 ROW_GROUP_BYTES = 1 << 20
@@ -69,7 +69,9 @@ def top_n_clustered(spark, path: str, n: int, group: str, score: str, ties: list
     """The first ``n`` rows of every group in the order (score, ties) from a clustered table."""
     ship(spark)
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    stats = row_group_stats(listed.repartition("path"), group, score)
+    # By number: lists of paths are small, and would else be merged into one task.
+    width = partitions_for(spark, spark.sparkContext.defaultParallelism)
+    stats = row_group_stats(listed.repartition(width, "path"), group, score)
     # Rows that are surely no worse: those of earlier row groups holding this group alone.
     single = F.col("lo") == F.col("hi")
     ahead = Window.partitionBy("lo").orderBy("worst", "best", "path", "row_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +80,7 @@ def top_n_clustered(spark, path: str, n: int, group: str, score: str, ties: list
     one = one.withColumn("nth", F.min(F.when(F.col("ahead") + F.col("n") >= n, F.col("worst"))).over(bound))
     one = one.where(F.col("nth").isNull() | (F.col("best") <= F.col("nth"))) if skip else one
     todo = one.select("path", "row_group", "best").unionByName(stats.where(~single | single.isNull()).select("path", "row_group", "best"))
-    todo = todo.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group"))).alias("todo"))
+    todo = todo.repartition(width, "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group"))).alias("todo"))
     names, order = [f.name for f in schema.fields], [score, *ties]
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
