@@ -37,7 +37,7 @@ LOW_SHARE = 0.10
 SHARED_HOSTS = 1 / 500
 FIT_PAGES = 6_000
 #: Words are counted if they make up this share of all, so the table sent to tasks is bounded.
-WORD_SHARE = 1 / 2_000_000
+WORD_SHARE = 1 / 300_000
 WORD_LEAST = 2
 
 SIDES = (("before", "text_before_table"), ("after", "text_after_table"))

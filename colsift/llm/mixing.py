@@ -67,8 +67,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     )
     # The sources with a positive budget are named in the targets, a configuration table.
     uses = docs.join(F.broadcast(plan), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
-    uses = uses.withColumn("key", F.xxhash64(F.lit(seed), "epoch", "doc_id"))
-    spread = (F.shiftrightunsigned("key", 1).cast("double") / float(1 << 63)) * F.col("n_buckets")
+    uses = uses.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id"), 1))
+    spread = (F.col("key").cast("double") / float(1 << 63)) * F.col("n_buckets")
     uses = uses.withColumn("bucket", F.least(F.floor(spread).cast("int"), F.col("n_buckets") - 1))
     sums = uses.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("source").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)

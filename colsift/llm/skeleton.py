@@ -58,8 +58,12 @@ def skeleton(text: str | None) -> str | None:
 
 
 def with_skeleton(df: DataFrame, text_col: str, out_col: str = "skeleton") -> DataFrame:
-    """``df`` with the skeleton of a string column: one pass, no shuffle, repeats computed once a batch."""
+    """``df`` with the skeleton of a string column: one pass, no shuffle, repeats computed once a batch.
+
+    A column that is already named ``out_col`` is replaced.
+    """
     ship(df.sparkSession)
+    df = df.drop(out_col) if text_col != out_col else df
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

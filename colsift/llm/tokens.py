@@ -164,11 +164,14 @@ def count_tokens(
     tokenizer_dir: str = TOKENIZER_DIR,
     rank_file: str = RANK_FILE,
 ) -> DataFrame:
-    """``docs`` without the text and with its length in tokens (0 for null and empty)."""
+    """``docs`` without the text and with its length in tokens (0 for null and empty).
+
+    A column that is already named ``out_col`` is replaced.
+    """
     spark = docs.sparkSession
     ship(spark)
     ranks = broadcast_ranks(spark, tokenizer_dir, rank_file)
-    keep = [f for f in docs.schema.fields if f.name != text_col]
+    keep = [f for f in docs.schema.fields if f.name not in (text_col, out_col)]
     src = docs.select(*[docs[f.name] for f in keep], docs[text_col].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
