@@ -50,6 +50,7 @@ _SEP = re.compile(r"\s+[|/›»·•>‹]\s+|\s{2,}|,\s+|、|\s*\|\s*")
 _SIGN = re.compile(r"[›·©#]|\(c\)|\s»\s")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Whole numbers are masked; measured values with a fraction tell blocks apart.
+_DIGIT, _ZEROS, _QUOTED = re.compile(r"\d"), re.compile(r"(?:0[\s,]*)+"), re.compile(r'"[^"]*"')
 _NUM = re.compile(r"(?<![\d.,])\d+(?![.,]?\d)")
 #: Scripts written without blanks between words; their features are character trigrams.
 _PACKED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]+")
@@ -71,16 +72,39 @@ def host_names(host: str) -> set[str]:
     return set(parts) | {p.split(".")[0] for p in [host.removeprefix("www.").removeprefix("my.")]}
 
 
+_MASKED: dict[str, str] = {}
+#: Blocks whose masked form a worker keeps; the cache is emptied when full.
+CACHE_BLOCKS = 50_000
+
+
+def _masked(block: str) -> str:
+    """Small letters, whole numbers as 0, attribute values empty; pages of a host repeat blocks, so results are kept."""
+    known = _MASKED.get(block)
+    if known is None:
+        known = block.lower()
+        if _DIGIT.search(known):
+            known = _ZEROS.sub("0 ", _NUM.sub("0", known))
+        if '"' in known:
+            known = _QUOTED.sub('""', known)
+        if len(_MASKED) >= CACHE_BLOCKS:
+            _MASKED.clear()
+        _MASKED[block] = known
+    return known
+
+
 def content_key(block: str, names: set[str]) -> int:
     """Hash of a block's content node: small letters, numbers and the host's name masked."""
-    masked = _NUM.sub("0", block.lower())
+    masked = _masked(block)
     for name in names:
-        masked = masked.replace(name, "@")
-    return xxhash.xxh64_intdigest(re.sub(r"(?:0[\s,]*)+", "0 ", re.sub(r'"[^"]*"', '""', masked))) - (1 << 63)
+        if name in masked:
+            masked = masked.replace(name, "@")
+    return xxhash.xxh64_intdigest(masked) - (1 << 63)
 
 
 def tokens(block: str) -> list[str]:
     """Words of a block; trigrams where the script doesn't part words."""
+    if block.isascii():
+        return [w for w in _WORD.findall(block.lower()) if len(w) > 1]
     out = []
     for m in _WORD.finditer(block):
         w = m.group().lower()
@@ -91,33 +115,44 @@ def tokens(block: str) -> list[str]:
     return out
 
 
+_MARKUP_SIGNS = re.compile(r"[<>{};&@]")
+_FACT = re.compile(r"\s[–=]\s*[\d.,]+$|:\s*[\d.,]+$")
+_COUNTED = re.compile(r"\(\d+\)")
+_DIGITS = re.compile(r"\d+")
+
+
+def is_markup(block: str) -> bool:
+    return bool(_MARKUP_SIGNS.search(block) and _MARKUP.search(block)) or "//]]>" in block
+
+
 def presentation(block: str) -> list[float]:
     """Language-independent features of how a block is laid out."""
     items = [s for s in _SEP.split(block) if s.strip()]
-    n_words = [len(_WORD.findall(s)) for s in items]
-    packed = "".join(_PACKED.findall(block))
-    letters = sum(ch.isalpha() for ch in block)
-    n_all = len(_WORD.findall(block))
+    many = len(items) >= 3
+    words = _WORD.findall(block)
+    packed = "".join(_PACKED.findall(block)) if not block.isascii() else ""
+    pieces = block.split()
     ends = bool(_END.search(block))
-    runs = max((len(x) for x in re.split(r"\s", block)), default=0)
-    singles = sum(len(w) == 1 for w in block.split())
+    short = many and not ends and max(len(_WORD.findall(s)) for s in items) <= 3
+    singles = sum(len(w) == 1 for w in pieces)
+    numbers = len(_DIGITS.findall(block))
     return [
-        float(bool(_MARKUP.search(block))),
+        float(is_markup(block)),
         float(ends), float(len(_ENDS.findall(block)) >= 2),
-        float(len(items) >= 3), float(len(items) >= 3 and max(n_words, default=0) <= 3 and not ends),
-        float("|" in block), float("«" not in block and bool(_SIGN.search(block))), math.log1p(n_all), math.log1p(len(block)),
-        letters / max(1, len(block)), float(bool(re.search(r"\d", block))), float(bool(re.search(r"\(\d+\)", block))),
-        float(bool(re.search(r"\s[–=]\s*[\d.,]+$|:\s*[\d.,]+$", block))),
-        float(singles >= 5 and singles >= 0.6 * len(block.split()) and not packed),
-        float(bool(packed) and runs >= 18), float(len(re.findall(r"\d+", block)) >= 3 and not ends),
+        float(many), float(short),
+        float("|" in block), float("«" not in block and bool(_SIGN.search(block))), math.log1p(len(words)), math.log1p(len(block)),
+        sum(map(len, words)) / max(1, len(block)), float(numbers > 0), float(numbers > 0 and bool(_COUNTED.search(block))),
+        float(numbers > 0 and bool(_FACT.search(block))),
+        float(singles >= 5 and singles >= 0.6 * len(pieces) and not packed),
+        float(bool(packed) and max(map(len, pieces)) >= 18), float(numbers >= 3 and not ends),
     ]
 
 
 def sure_main(block: str) -> bool:
     """A block that reads as prose by its layout alone: two sentences, or one long one, no list, no markup."""
-    if _MARKUP.search(block) or "|" in block or ("«" not in block and _SIGN.search(block)):
+    if is_markup(block) or "|" in block or ("«" not in block and _SIGN.search(block)):
         return False
-    packed = _PACKED.findall(block)
+    packed = [] if block.isascii() else _PACKED.findall(block)
     if packed:
         return max(map(len, packed)) >= 25 or (len("".join(packed)) >= 15 and bool(_END.search(block)))
     return bool(_END.search(block)) and len(_WORD.findall(block)) >= 6
@@ -125,7 +160,7 @@ def sure_main(block: str) -> bool:
 
 def sure_furniture(block: str) -> bool:
     """Markup, or a list of at least three short items that is no sentence."""
-    if _MARKUP.search(block):
+    if is_markup(block):
         return True
     x = presentation(block)
     return bool(x[4] or x[13])
@@ -137,6 +172,12 @@ class Scorer:
     def __init__(self, odds: dict[str, tuple[int, int]], low: int, high: int, shared: frozenset[int] = frozenset()):
         self.odds, self.low, self.high, self.shared = odds, max(1, low), max(1, high), shared
         self.weights: np.ndarray | None = None
+        self._known: dict[str, float] = {}
+        self.logs = {w: self._log(b, m) for w, (b, m) in odds.items()}
+
+    def _log(self, b: int, m: int) -> float:
+        v = math.log((b + 0.2) / self.low) - math.log((m + 0.2) / self.high)
+        return max(-6.0, min(6.0, v))
 
     def features(self, block: str, own: int | None = None) -> list[float]:
         """``own``: the class of a training block, whose own words are taken out of the counts."""
@@ -145,20 +186,29 @@ class Scorer:
         words = tokens(block)
         seen = Counter(words) if own is not None else {}
         for w in words:
+            if own is None:
+                if (v := self.logs.get(w)) is None:
+                    unknown += 1
+                else:
+                    logs.append(v)
+                continue
             b, m = self.odds.get(w, (0, 0))
-            if own is not None:
-                b, m = (max(0, b - seen[w]), m) if own else (b, max(0, m - seen[w]))
+            b, m = (max(0, b - seen[w]), m) if own else (b, max(0, m - seen[w]))
             if b + m == 0:
                 unknown += 1
             else:
-                logs.append(math.log((b + 0.2) / self.low) - math.log((m + 0.2) / self.high))
-        clip = lambda v: max(-6.0, min(6.0, v))
-        logs = [clip(v) for v in logs]
+                logs.append(self._log(b, m))
         mean = sum(logs) / len(logs) if logs else 0.0
         return [1.0, mean, min(logs, default=0.0), unknown / max(1, len(words)), float(not words), *presentation(block)]
 
     def score(self, block: str) -> float:
-        return float(np.dot(self.features(block), self.weights))
+        """Kept for repeated blocks, in a cache that is emptied when full."""
+        known = self._known.get(block)
+        if known is None:
+            if len(self._known) >= CACHE_BLOCKS:
+                self._known.clear()
+            known = self._known[block] = sum(x * w for x, w in zip(self.features(block), self.weights.tolist()))
+        return known
 
 
 def fit(rows: list[tuple[list[float], int]], ridge: float = 1.0) -> np.ndarray:
@@ -180,9 +230,11 @@ def fit(rows: list[tuple[list[float], int]], ridge: float = 1.0) -> np.ndarray:
 
 def label(block: str, key: int, low: set[int]) -> int | None:
     """1: a node of low importance, 0: of high importance and prose by its layout, None: neither."""
-    if key in low or sure_furniture(block):
+    if key in low:
         return 1
-    return 0 if sure_main(block) else None
+    if sure_main(block):
+        return 0
+    return 1 if sure_furniture(block) else None
 
 
 def pages_of(table_meta: DataFrame) -> DataFrame:
@@ -292,14 +344,11 @@ def main_blocks(table_meta: DataFrame, with_text: bool = False) -> DataFrame:
         scorer = shared.value
         for batch in batches:
             ids, sides, numbers, texts = [], [], [], []
-            known: dict[tuple[str, str], bool] = {}
             for table_id, host, before, after, low in zip(*(c.to_pylist() for c in batch.columns)):
                 names, lows = host_names(host), scorer.shared.union(low or ())
                 for side, text in (("before", before), ("after", after)):
                     for k, b in enumerate(blocks(text)):
-                        if (host, b) not in known:
-                            known[host, b] = keep(b, content_key(b, names), lows, scorer)
-                        if known[host, b]:
+                        if keep(b, content_key(b, names), lows, scorer):
                             ids.append(table_id)
                             sides.append(side)
                             numbers.append(k)
