@@ -8,16 +8,19 @@ its k-th distance; blocks whose lower bound exceeds that are not read.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsift.functions import segments as S
-from colsift.functions.distance import squared_euclidean
-from colsift.operators.knn import QUERY_KEY, not_own, rank_matches
-from colsift.runtime import cut
+from colsift.operators.knn import QUERY_KEY, best_rows, nearest_rows, rank_matches
+from colsift.runtime import cut, ship
 
 #: Synopses are sent to all tasks up to this many blocks; beyond, they are joined.
 BROADCAST_BLOCKS = 50_000
+#: Vectors of one tile of a block.
+TILE_ROWS = 20_000
 
 
 def with_stats(vectors: DataFrame, ends: list[int], v: str = "v", out: str = "stats") -> DataFrame:
@@ -88,10 +91,29 @@ def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int]) -> D
 
 
 def search_blocks(queries: DataFrame, chosen: DataFrame, placed: DataFrame, k: int, exclude: str) -> DataFrame:
-    """k nearest within the chosen (query, block) pairs only."""
-    pairs = chosen.select(*QUERY_KEY, "block_id").join(queries, QUERY_KEY).join(placed.select("block_id", "table_id", "set_id", "pos", "v"), "block_id")
-    pairs = pairs.where(not_own(exclude)).withColumn("d", squared_euclidean(F.col("q_v"), F.col("v")))
-    return rank_matches(pairs.select(*QUERY_KEY, "table_id", "set_id", "pos", "d"), k)
+    """k nearest within the chosen (query, block) pairs only; ``chosen`` has the blocks' sizes ``n``.
+
+    Every block is one tile of a matrix product against the queries that chose it; blocks of
+    more than ``TILE_ROWS`` vectors are cut into as many tiles, so no task holds a whole hot block.
+    """
+    ship(queries.sparkSession)
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE_ROWS)).cast("int")
+    asked = chosen.select(*QUERY_KEY, F.col("block_id").alias("in_block"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("in_tile")).join(queries, QUERY_KEY)
+    sizes = chosen.groupBy("block_id").agg(F.first(tiles).alias("tiles"))
+    rows = placed.select("block_id", "table_id", "set_id", "pos", "v").join(sizes, "block_id")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("table_id", "set_id", "pos"), F.col("tiles")).cast("int")).drop("tiles")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: pd.Series([], dtype="float64" if c == "d" else "int32") for c in [*QUERY_KEY, "table_id", "set_id", "pos", "d"]})
+        q_ids, ids = tuple(left[c].to_numpy() for c in QUERY_KEY), tuple(right[c].to_numpy() for c in ("table_id", "set_id", "pos"))
+        q, x = (np.stack(v.to_numpy()).astype(np.float64) for v in (left["q_v"], right["v"]))
+        best = best_rows(nearest_rows(q, q_ids, x, ids, k, exclude), k)
+        at = best["q"].to_numpy().astype(int)
+        return pd.DataFrame({c: v[at] for c, v in zip(QUERY_KEY, q_ids)} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")})
+
+    found = asked.groupBy("in_block", "in_tile").cogroup(rows.groupBy("block_id", "tile")).applyInPandas(run, "q_table_id int, q_set_id int, q_pos int, table_id int, set_id int, pos int, d double")
+    return rank_matches(found, k)
 
 
 def seed_bounds(bounds: DataFrame, queries: DataFrame, placed: DataFrame, k: int, exclude: str, by: str = "lb") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsift.functions.distance import l2_normalise
+from colsift.functions.distance import l2_normalise, let
 from colsift.functions.text import has_header_row, keeps_cell, normalise
 from colsift.operators.knn import exact_join, knn_join
 from colsift.operators.rank import top_columns, top_tables
@@ -50,10 +50,11 @@ def embed_cells(tokens: DataFrame, lexicon: DataFrame, keys: list[str], dim: int
     whose mean is zero, have no vector.
     """
     words = tokens.select(*keys, "pos", F.explode(F.split("token", " ")).alias("word")).where("word <> ''")
-    unit = lexicon.where(~F.exists("vec", lambda x: F.isnan(x))).select("word", l2_normalise(F.col("vec")).alias("u"))
-    known = words.join(unit, "word").where(F.exists("u", lambda x: x != 0))
+    # Computed once for each word: a filter on it would compute it again. Bad vectors become null, which avg skips.
+    bad = lambda v: F.exists(v, lambda x: x.isNull() | F.isnan(x)) | ~F.exists(v, lambda x: x != 0)
+    unit = lexicon.select("word", let(F.col("vec"), lambda v: F.when(~bad(v), l2_normalise(v))).alias("u"))
     means = F.array(*[F.avg(F.col("u")[i]) for i in range(dim)])
-    return known.groupBy(*keys, "pos").agg(means.alias("v")).where(F.exists("v", lambda x: x != 0))
+    return words.join(unit, "word").groupBy(*keys, "pos").agg(means.alias("v")).where(F.exists("v", lambda x: x != 0))
 
 
 def hash_embedder(keys: list[str], dim: int) -> Embedder:

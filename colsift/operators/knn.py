@@ -46,38 +46,52 @@ def rank_matches(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
+def nearest_rows(q: np.ndarray, q_ids: tuple, x: np.ndarray, ids: tuple, k: int, exclude: str) -> pd.DataFrame:
+    """(q, d, table_id, set_id, pos): at least the ``k`` nearest rows of ``x`` for every row of ``q``.
+
+    One matrix product a slice of queries picks the candidates; the product loses digits to
+    cancellation, so whatever may tie is kept and scored exactly in float64. ``q_ids`` and
+    ``ids`` are (table, set, pos) arrays.
+    """
+    (qt, qs, _), (t, s, p) = q_ids, ids
+    xn = (x * x).sum(1)
+    found = []
+    for a in range(0, len(q), 512):
+        part = slice(a, a + 512)
+        d = (q[part] * q[part]).sum(1)[:, None] + xn[None] - 2 * q[part] @ x.T
+        if exclude != "none":
+            own = qt[part, None] == t[None]
+            if exclude == "column":
+                own &= qs[part, None] == s[None]
+            d[own] = np.inf
+        n = min(k, d.shape[1])
+        limit = np.partition(d, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero((d <= limit[:, None] + 1e-6) & np.isfinite(d))
+        found.append(pd.DataFrame({"q": i + a, "d": ((q[i + a] - x[j]) ** 2).sum(1), "table_id": t[j], "set_id": s[j], "pos": p[j]}))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: [] for c in ("q", *ORDER)})
+
+
+def best_rows(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["q", *ORDER], kind="stable").groupby("q", sort=False).head(k)
+
+
 def _kernel(queries: pd.DataFrame, k: int, exclude: str):
-    """Top-k of each query over the batches of a partition: one matrix product per batch, float64 re-scoring."""
-    qt, qs, qp = (queries[c].to_numpy() for c in QUERY_KEY)
+    """Top-k of each query over the batches of a partition."""
+    q_ids = tuple(queries[c].to_numpy() for c in QUERY_KEY)
     q = np.stack(queries["q_v"].to_numpy()).astype(np.float64) if len(queries) else np.zeros((0, 0))
-    qn = (q * q).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pd.DataFrame | None = None
         for batch in batches:
             if not len(q) or not batch.num_rows:
                 continue
-            t, s, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x_all = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            found = []
-            for a in range(0, len(q), 512):
-                part = slice(a, a + 512)
-                d = qn[part, None] + (x_all * x_all).sum(1)[None] - 2 * q[part] @ x_all.T
-                if exclude != "none":
-                    own = qt[part, None] == t[None]
-                    if exclude == "column":
-                        own &= qs[part, None] == s[None]
-                    d[own] = np.inf
-                limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                # The product loses digits to cancellation: keep whatever may tie, then score it exactly.
-                i, j = np.nonzero((d <= limit[:, None] + 1e-6) & np.isfinite(d))
-                exact = ((q[i + a] - x_all[j]) ** 2).sum(1)
-                found.append(pd.DataFrame({"q": i + a, "d": exact, "table_id": t[j], "set_id": s[j], "pos": p[j]}))
-            best = pd.concat([*([best] if best is not None else []), *found], ignore_index=True)
-            best = best.sort_values(["q", *ORDER], kind="stable").groupby("q", sort=False).head(k)
+            ids = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            found = best_rows(nearest_rows(q, q_ids, x, ids, k, exclude), k)
+            best = found if best is None else best_rows(pd.concat([best, found], ignore_index=True), k)
         if best is not None and len(best):
             at = best["q"].to_numpy()
-            out = {"q_table_id": qt[at], "q_set_id": qs[at], "q_pos": qp[at]} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")}
+            out = {c: v[at] for c, v in zip(QUERY_KEY, q_ids)} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")}
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
     return run
