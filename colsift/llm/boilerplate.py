@@ -35,6 +35,9 @@ LOW_SHARE = 0.10
 #: A node that is of low importance on this share of the hosts, and on two at least, is so on
 #: every page: by the share there are at most (low nodes of a host) / SHARED_HOSTS of them.
 SHARED_HOSTS = 1 / 500
+#: So is a node that stands on this share of all pages, on so many at least, of so many hosts:
+#: there are at most (blocks of a page) / WIDE_SHARE of them.
+WIDE_SHARE, WIDE_PAGES, WIDE_HOSTS = 0.01, 7, 3
 FIT_PAGES = 6_000
 #: Words are counted if they make up this share of all, so the table sent to tasks is bounded.
 WORD_SHARE = 1 / 300_000
@@ -117,6 +120,7 @@ def tokens(block: str) -> list[str]:
 
 _MARKUP_SIGNS = re.compile(r"[<>{};&@]")
 _FACT = re.compile(r"\s[–=]\s*[\d.,]+$|:\s*[\d.,]+$")
+_MEASURED = re.compile(r"\d[.,]\d")
 _COUNTED = re.compile(r"\(\d+\)")
 _DIGITS = re.compile(r"\d+")
 
@@ -149,9 +153,12 @@ def presentation(block: str) -> list[float]:
 
 
 def sure_main(block: str) -> bool:
-    """A block that reads as prose by its layout alone: two sentences, or one long one, no list, no markup."""
+    """A block that is main body by its layout alone: a sentence of some length, or a label with a
+    measured value; no list, no markup."""
     if is_markup(block) or "|" in block or ("«" not in block and _SIGN.search(block)):
         return False
+    if _FACT.search(block) and _MEASURED.search(block):
+        return True
     packed = [] if block.isascii() else _PACKED.findall(block)
     if packed:
         return max(map(len, packed)) >= 25 or (len("".join(packed)) >= 15 and bool(_END.search(block)))
@@ -244,8 +251,9 @@ def pages_of(table_meta: DataFrame) -> DataFrame:
     ).dropDuplicates(["table_id"])
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, low ARRAY<LONG>): content nodes of low importance in each host's style tree.
+def low_nodes(pages: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(host, low ARRAY<LONG>): content nodes of low importance in each host's style tree; and
+    those of low importance in the tree of all hosts.
 
     A host has at most (blocks of a page) / LOW_SHARE of them. Hosts without a name stand alone.
     """
@@ -263,9 +271,13 @@ def low_nodes(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
 
     named = pages.where("host <> ''")
-    spread = named.select("host", *(c for _, c in SIDES)).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LOW_PAGES)
-    size = named.groupBy("host").agg(F.count("*").alias("m"))
-    return spread.join(size, "host").where(F.col("n") >= F.col("m") * LOW_SHARE).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("low"))
+    spread = named.select("host", *(c for _, c in SIDES)).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n"))
+    spread = cut(spread)
+    size = cut(named.groupBy("host").agg(F.count("*").alias("m")))
+    total = size.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    wide = spread.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("hosts") >= WIDE_HOSTS) & (F.col("n") >= max(WIDE_PAGES, WIDE_SHARE * total)))
+    lows = spread.where(F.col("n") >= LOW_PAGES).join(size, "host").where(F.col("n") >= F.col("m") * LOW_SHARE)
+    return lows.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("low")), frozenset(r["key"] for r in wide.select("key").collect())
 
 
 def shared_nodes(treed: DataFrame) -> frozenset[int]:
@@ -275,11 +287,11 @@ def shared_nodes(treed: DataFrame) -> frozenset[int]:
     return frozenset(r[0] for r in by_host.select(F.explode("low").alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key").collect())
 
 
-def train(treed: DataFrame) -> Scorer:
+def train(treed: DataFrame, wide: frozenset[int] = frozenset()) -> Scorer:
     """Word odds over all pages and the model over a bounded sample; ``treed`` has the pages with their low nodes."""
     spark = treed.sparkSession
     ship(spark)
-    shared = shared_nodes(treed)
+    shared = shared_nodes(treed) | wide
     everywhere = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +332,11 @@ def train(treed: DataFrame) -> Scorer:
     return scorer
 
 
-def with_low_nodes(table_meta: DataFrame) -> DataFrame:
+def with_low_nodes(table_meta: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     """Pages with the low-importance nodes of their host, written once: later passes read it."""
     pages = pages_of(table_meta)
-    return cut(pages.join(low_nodes(pages), "host", "left").select("table_id", "host", *(c for _, c in SIDES), "low"))
+    lows, wide = low_nodes(pages)
+    return cut(pages.join(lows, "host", "left").select("table_id", "host", *(c for _, c in SIDES), "low")), wide
 
 
 def keep(block: str, key: int, low: set[int], scorer: Scorer) -> bool:
@@ -337,8 +350,8 @@ def main_blocks(table_meta: DataFrame, with_text: bool = False) -> DataFrame:
     Null, empty and blank texts have no blocks; a page without URL is judged by the model
     alone; repeated rows of a table_id are one page. Texts are used whole.
     """
-    treed = with_low_nodes(table_meta)
-    shared = table_meta.sparkSession.sparkContext.broadcast(train(treed))
+    treed, wide = with_low_nodes(table_meta)
+    shared = table_meta.sparkSession.sparkContext.broadcast(train(treed, wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
