@@ -15,17 +15,23 @@ def hits(results: DataFrame, truth: DataFrame, keys: list[str] = MATCH_KEY) -> D
     return results.join(truth.select(*keys).distinct(), keys, "left_semi")
 
 
+def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two one-row counts side by side."""
+    return a.unionByName(b, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*a.columns, *b.columns)])
+
+
 def recall(results: DataFrame, truth: DataFrame, keys: list[str] = MATCH_KEY) -> DataFrame:
     """One row: found, expected and their ratio; the ratio is null for an empty truth."""
     found = hits(results.select(*keys).distinct(), truth, keys).agg(F.count("*").alias("found"))
-    return found.crossJoin(truth.select(*keys).distinct().agg(F.count("*").alias("expected"))).withColumn("recall", F.expr("found / nullif(expected, 0)"))
+    expected = truth.select(*keys).distinct().agg(F.count("*").alias("expected"))
+    return _one_row(found, expected).withColumn("recall", F.expr("found / nullif(expected, 0)"))
 
 
 def precision(results: DataFrame, truth: DataFrame, k: int, keys: list[str] = MATCH_KEY, query: list[str] = MATCH_KEY[:3]) -> DataFrame:
     """One row: found, possible = the sum over queries of min(expected, k), and their ratio."""
     found = hits(results.select(*keys).distinct(), truth, keys).agg(F.count("*").alias("found"))
     possible = truth.select(*keys).distinct().groupBy(*query).count().agg(F.sum(F.least("count", F.lit(k))).alias("possible"))
-    return found.crossJoin(possible).withColumn("precision", F.expr("found / nullif(possible, 0)"))
+    return _one_row(found, possible).withColumn("precision", F.expr("found / nullif(possible, 0)"))
 
 
 def recall_on_distance(results: DataFrame, truth: DataFrame, query: list[str] = MATCH_KEY[:3]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: str | None = None
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder for a table that an operator writes."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that operators wrote into the shared folder; results that read them must be consumed before."""
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
