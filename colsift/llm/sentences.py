@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsift.runtime import ship
+from colsift.runtime import cut, ship
 
 #: Documents the classifier is fitted on.
 FIT_DOCUMENTS = 4_000
@@ -358,15 +358,11 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> Counts:
 
     schema = "token string, " + ", ".join(f"{k} long" for k in kinds)
     per = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("token").agg(*(F.sum(k).alias(k) for k in kinds))
-    whole = F.broadcast(per.agg(*(F.sum(k).alias(f"all_{k}") for k in kinds)))
-    kept = per.crossJoin(whole).where(
-        (F.col("dot") >= F.greatest(F.lit(COUNT_LEAST), F.col("all_dot") * COUNT_SHARE)) | (F.col("start") >= F.greatest(F.lit(COUNT_LEAST), F.col("all_start") * COUNT_SHARE)) | (F.col("total") >= F.greatest(F.lit(20), F.col("all_total") * COUNT_SHARE))
-    )
-    rows = kept.collect()
-    if not rows:
-        return Counts()
-    one = rows[0]
-    return Counts({r["token"]: (r["dot"], r["final"], r["start"], r["total"]) for r in rows}, one["all_dot"] or 1, one["all_final"] or 1, one["all_start"] or 1, one["all_total"] or 1)
+    per = cut(per)
+    whole = per.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
+    least = lambda k, n: F.col(k) >= max(n, whole[k] * COUNT_SHARE)
+    rows = per.where(least("dot", COUNT_LEAST) | least("start", COUNT_LEAST) | least("total", 20)).collect()
+    return Counts({r["token"]: (r["dot"], r["final"], r["start"], r["total"]) for r in rows}, whole["dot"] or 1, whole["final"] or 1, whole["start"] or 1, whole["total"] or 1)
 
 
 def training_rows(text: str, n: Counts) -> Iterator[tuple[list[float], int]]:
