@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
