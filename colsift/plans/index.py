@@ -216,3 +216,19 @@ def x9_dtw_bounds(spark, sf_dir):
     s = blocks.summarise(placed(spark, sf_dir), ENDS)
     q = uploads(spark, sf_dir).withColumn("env", distance.envelope(F.col("q_v"), 5)).drop("q_v")
     return q.join(F.broadcast(s)).select(*knn.QUERY_KEY, "block_id", F.round(segments.dtw_lower_bound(F.col("env"), F.col("syn"), ENDS), 6).alias("lb"))
+
+
+@query(f"""WITH {LAKE}, {BLOCKS}, {QUERY_STATS}, {_BOUNDS}, q AS (SELECT block_id, {' + '.join(f'{n} * (POW(mx{i} - mn{i}, 2) + POW(sx{i}, 2))' for i, (_, n) in enumerate(segments.bounds(ENDS)))} AS quality FROM syn)
+SELECT {_KEY}, block_id, ROUND(lb, 5) AS lb, ROUND(quality, 5) AS quality FROM bounds JOIN q USING (block_id)""")
+def t13_block_dump(spark, sf_dir):
+    s = blocks.summarise(placed(spark, sf_dir), ENDS)
+    b = blocks.block_bounds(uploads(spark, sf_dir), s, ENDS)
+    q = s.select("block_id", segments.quality(F.col("syn"), ENDS).alias("quality"))
+    return b.join(q, "block_id").select(*knn.QUERY_KEY, "block_id", F.round("lb", 5).alias("lb"), F.round("quality", 5).alias("quality"))
+
+
+@query(f"""WITH {LAKE}, {BLOCKS}, {QUERY_STATS}, {_BOUNDS}, {_PLACED_PAIRS}, first AS (SELECT {_KEY}, block_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_KEY} ORDER BY lb, block_id) AS r FROM bounds) WHERE r = 1),
+e AS (SELECT pairs.*, ROW_NUMBER() OVER (PARTITION BY {_KEY} ORDER BY d, table_id, set_id, pos) AS rank FROM pairs JOIN first USING ({_KEY}, block_id))
+SELECT {_MATCH}, ROUND(d, 6) AS d, CAST(rank AS INT) AS rank FROM e WHERE rank = 1""")
+def t1_nearest_in_best_block(spark, sf_dir):
+    return _rounded(blocks.pruned_knn(uploads(spark, sf_dir), placed(spark, sf_dir), ENDS, 1, nprobes=1))

@@ -10,6 +10,7 @@ from colsift.operators import blocks, knn
 from colsift.plans.data import BLOCKS, DIM, ENDS, LAKE, corpus, knn_sql, lake, pairs_sql
 from colsift.plans.index import placed
 from colsift.plans.search import matches, query
+from colsift.plans.text import _CELLS, _TOKENS, tokens
 from colsift.runtime import shared_path, table
 from colsift.sources import results, text, vectors_bin
 from colsift.streaming import ingest
@@ -168,3 +169,47 @@ def streaming_ingest(spark, sf_dir):
     return ingest.summaries(spark, f"{path}/lake", ENDS).select("block_id", "n", F.round(F.col("syn")[0]["mu_max"], 6).alias("mx0"), F.round(F.col("syn")[0]["mu_min"], 6).alias("mn0"))
 
 
+
+
+@query(f"WITH {_CELLS}, {_TOKENS} SELECT table_id, set_id, token FROM tokens WHERE table_id % 20 = 0")
+def k5_clean_snapshot(spark, sf_dir):
+    """Cleaned columns as JSON documents, one line a table, read back."""
+    path = shared_path(spark, "clean")
+    clean = tokens(spark, sf_dir).where("table_id % 20 = 0")
+    cols = clean.groupBy("table_id", "set_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    docs = cols.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("set_id", "tokens"))).alias("cols"), F.count("*").alias("ncols"))
+    docs.select(F.col("table_id").alias("id"), "ncols", "cols").write.json(path)
+    back = spark.read.schema("id int, ncols long, cols array<struct<set_id:int,tokens:array<string>>>").json(path)
+    return back.select(F.col("id").alias("table_id"), F.explode("cols").alias("c")).select("table_id", "c.set_id", F.explode("c.tokens").alias("token"))
+
+
+@query("SELECT k, n FROM (SELECT k, COUNT(*) AS n FROM match_rows GROUP BY k) CROSS JOIN (SELECT UNNEST([1, 2]))")
+def k7_metrics_append(spark, sf_dir):
+    path = shared_path(spark, "metrics")
+    rows = table(spark, sf_dir, "match_rows").groupBy("k").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        results.append_metrics(rows, path)
+    return spark.read.csv(path, header=True, schema="k int, n long")
+
+
+@query("""WITH d AS (SELECT CAST(FLOOR(distance * 4) AS INT) AS bin FROM query_results WHERE distance IS NOT NULL AND NOT ISNAN(distance) AND distance BETWEEN 0 AND 100),
+c AS (SELECT bin, COUNT(*) AS n FROM d GROUP BY bin) SELECT (bin + 1) / 4.0::DOUBLE AS x, ROUND(SUM(n) OVER (ORDER BY bin) / SUM(n) OVER (), 9) AS y FROM c""")
+def s21_distance_histogram(spark, sf_dir):
+    """A cumulative distance histogram, written in its file form and read back; at most 401 bins."""
+    from pyspark.sql import Window
+
+    path = shared_path(spark, "hist")
+    d = table(spark, sf_dir, "query_results").where("distance between 0 and 100 and not isnan(distance)")
+    bins = d.groupBy(F.floor(F.col("distance") * 4).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("bin")
+    share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy(F.lit(1)))
+    pairs = bins.select("bin", F.format_string("%s %s", ((F.col("bin") + 1) / 4).cast("string"), F.round(share, 9).cast("string")).alias("p"))
+    one = pairs.agg(F.sort_array(F.collect_list(F.struct("bin", "p"))).alias("s"))
+    one.select(F.concat_ws("\n", F.size("s").cast("string"), F.transform("s", lambda x: x["p"])).alias("value")).coalesce(1).write.text(path)
+    return text.read_histogram(spark, path).select("x", F.round("y", 9).alias("y"))
+
+
+@query(f"WITH {LAKE}, {pairs_sql()} SELECT k, CAST(COUNT(*) AS BIGINT) AS rows FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q_table_id, q_set_id, q_pos ORDER BY d, table_id, set_id, pos) AS rank FROM pairs) JOIN (SELECT CAST(UNNEST([1, 10]) AS INT) AS k) ON rank <= k) GROUP BY k")
+def k3_run_log(spark, sf_dir):
+    """Runs and their sizes as a table, in place of facts in file names."""
+    return knn.slices(matches(spark, sf_dir), [1, 10]).groupBy("k").agg(F.count("*").alias("rows"))
