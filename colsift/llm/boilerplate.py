@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ WORD_LEAST = 2
 
 SIDES = (("before", "text_before_table"), ("after", "text_after_table"))
 _BREAK = re.compile(r"\r\n|\n|\r")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|//\]\]>|<!\[|&[a-z]+;|^\s*@\w+|[{};]\s*$|\{[^}]*:[^}]*\}|\w\(.*\)\s*;")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|//\]\]>|<!\[|&[a-z]+;|^\s*@\w+|[{};]\s*$|\{[^{}]*:[^{}]*\}|\w\([^()]*\)\s*;")
 _END = re.compile(r"[.!?…。！？।؟۔][)\]»”“\"'’」』）]*\s*$")
 _ENDS = re.compile(r"[.!?…।؟۔](?=\s)|[。！？]")
 _SEP = re.compile(r"\s+[|/›»·•>‹]\s+|\s{2,}|,\s+|、|\s*\|\s*")
@@ -69,10 +70,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def host_names(host: str) -> set[str]:
+@lru_cache(maxsize=4096)
+def host_names(host: str) -> frozenset[str]:
     """Forms in which a host writes its own name."""
     parts = [p for p in re.split(r"[.\-]", host) if len(p) > 3]
-    return set(parts) | {p.split(".")[0] for p in [host.removeprefix("www.").removeprefix("my.")]}
+    return frozenset(parts) | {p.split(".")[0] for p in [host.removeprefix("www.").removeprefix("my.")]} - {""}
 
 
 _MASKED: dict[str, str] = {}
@@ -237,8 +239,11 @@ def fit(rows: list[tuple[list[float], int]], ridge: float = 1.0) -> np.ndarray:
 
 def label(block: str, key: int, low: set[int]) -> int | None:
     """1: a node of low importance, 0: of high importance and prose by its layout, None: neither."""
-    if key in low:
-        return 1
+    return 1 if key in low else _by_layout(block)
+
+
+@lru_cache(maxsize=20_000)
+def _by_layout(block: str) -> int | None:
     if sure_main(block):
         return 0
     return 1 if sure_furniture(block) else None

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,13 +42,18 @@ SURE_DOTS = 20
 _MARKS = re.compile(r"[.!?…。！？．｡।॥؟۔]+")
 _FULL = set("。！？．｡।॥؟۔")
 _OPEN = {"(": ")", "[": "]", "«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "‹": "›"}
+_QUOTING = re.compile("[" + re.escape("".join({*_OPEN, *"".join(_OPEN.values()), '"', "`"})) + "]")
+#: Characters after a mark within which its closing sign is looked for.
+_TAIL = 64
 _CLOSERS = set(")]»”“\"'’」』）】》›")
 _OPENERS = "([«„“\"'‘「『（【《¿¡‹*_`"
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _LIST = re.compile(r"[ \t]*(?:[-*•–]|\d{1,3}[.)]|[a-z][)])[ \t]+(?=\S)")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _NUMBER = re.compile(r"[\d.,:/%+\-−–]+$")
+_RUN = re.compile(r"\S+")
 _FENCE = re.compile(r"[ \t]{0,3}(```|~~~)")
+_CLOSES = {f: re.compile(rf"(?m)^[ \t]*{f}") for f in ("```", "~~~")}
 #: Scripts without blanks between words: their tokens are the first or last characters of a run.
 _NO_BLANKS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
 #: Scripts among them in which a blank, not a mark, ends a sentence.
@@ -105,10 +110,9 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
             blank_before = True
             continue
         if f := _FENCE.match(line):
-            rest = text[b:]
             close()
             blank_before = True
-            if re.search(r"(?m)^[ \t]*" + re.escape(f.group(1)), rest):
+            if _CLOSES[f.group(1)].search(text, b):
                 fence = f.group(1)
             continue
         if blank_before and (line.startswith("    ") or line.startswith("\t")):
@@ -125,30 +129,42 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 
 
 def _pairs(p: str) -> tuple[list[int], dict[int, int]]:
-    """For every character the start of the matched pair around it (-1: none), and closer to opener."""
+    """For every character the start of the outermost matched pair around it (-1: none), and closer to opener.
+
+    Linear in the paragraph: a closer is looked up only if its opener is on the stack, and what
+    lies above that is popped.
+    """
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()
     matched: list[tuple[int, int]] = []
-    for i, ch in enumerate(p):
+
+    def match(ch: str, i: int) -> bool:
+        if not waiting[ch]:
+            return False
+        while True:
+            closers, at = stack.pop()
+            waiting.subtract(closers)
+            if ch in closers:
+                matched.append((at, i))
+                return True
+
+    def push(closers: str, i: int) -> None:
+        stack.append((closers, i))
+        waiting.update(closers)
+
+    for m in _QUOTING.finditer(p):
+        i, ch = m.start(), m.group()
         if ch in '"`':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-            if k is not None:
-                matched.append((stack[k][1], i))
-                del stack[k:]
-            elif ch == "`" or i + 1 < len(p) and not p[i + 1].isspace():
-                stack.append((ch, i))
-        elif stack and (k := next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][0]), None)) is not None:
-            matched.append((stack[k][1], i))
-            del stack[k:]
-        elif ch in _OPEN:
-            stack.append((_OPEN[ch], i))
-    around, opened = [-1] * len(p), {}
-    for a, b in sorted(matched, key=lambda x: x[0] - x[1]):
-        opened[b] = a
-        around[a : b + 1] = [a] * (b + 1 - a)
-    # The outermost pair wins: written last.
-    for a, b in sorted(matched, key=lambda x: x[1] - x[0]):
-        around[a : b + 1] = [a] * (b + 1 - a)
-    return around, opened
+            if not match(ch, i) and (ch == "`" or i + 1 < len(p) and not p[i + 1].isspace()):
+                push(ch, i)
+        elif not match(ch, i) and ch in _OPEN:
+            push(_OPEN[ch], i)
+    around, end = [-1] * len(p), -1
+    for a, b in sorted(matched):
+        if a > end:
+            around[a : b + 1] = [a] * (b + 1 - a)
+            end = b
+    return around, {b: a for a, b in matched}
 
 
 def _previous(p: str, i: int) -> str:
@@ -216,6 +232,7 @@ def candidates(p: str) -> list[Candidate]:
     around, opened = _pairs(p)
     out: list[Candidate] = []
     end = len(p.rstrip())
+    addresses = deque(m.span() for m in _RUN.finditer(p) if "://" in m.group() or m.group().startswith("www."))
     skip_to = 0
     if m := _LIST.match(p):
         skip_to = m.end()
@@ -227,7 +244,7 @@ def candidates(p: str) -> list[Candidate]:
         if around[a] >= 0:
             # Inside a pair only its very end can be a boundary, past its closer.
             k = e
-            while k < end and (p[k].isspace() or p[k] in _CLOSERS or _MARKS.match(p[k])):
+            while k < min(end, e + _TAIL) and (p[k].isspace() or p[k] in _CLOSERS or _MARKS.match(p[k])):
                 if k in opened and opened[k] <= a:
                     was, at = opened[k], k + 1
                 k += 1
@@ -240,19 +257,14 @@ def candidates(p: str) -> list[Candidate]:
         if at >= end:
             continue
         # Marks inside an address belong to it, but for one at its end.
-        lo = a
-        while lo > 0 and not p[lo - 1].isspace():
-            lo -= 1
-        hi = e
-        while hi < len(p) and not p[hi].isspace():
-            hi += 1
-        run = p[lo:hi]
-        if ("://" in run or run.startswith("www.")) and hi > e:
+        while addresses and addresses[0][1] <= a:
+            addresses.popleft()
+        if addresses and addresses[0][0] <= a and addresses[0][1] > e:
             continue
         g = at
         while g < end and p[g].isspace():
             g += 1
-        colon = was >= 0 and p[:was].rstrip()[-1:] in (":", "：")
+        colon = was >= 0 and p[max(0, was - 8) : was].rstrip()[-1:] in (":", "：")
         out.append(Candidate(at, m.group(), _previous(p, a), _next(p, at), p[at:g], p[g], was >= 0 or at > e, colon, was, was >= 0 and p[was] in "([（【"))
     for m in _BLANK_ENDS.finditer(p):
         if around[m.start()] < 0:

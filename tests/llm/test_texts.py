@@ -181,3 +181,29 @@ def test_wrong_labels(spark):
     got = {tuple(r) for r in language.wrong_labels(meta, raw, samples).collect()}
     assert got == {(2, "text_before_table", "de"), (3, "text_before_table", "en"), (3, "text_before_table", "ja"), (4, "text_before_table", "de"), (1, "relation", "de")}
     assert language.wrong_labels(meta.limit(0), raw.limit(0), samples).count() == 0
+
+
+# ---- hostile lengths
+
+
+@pytest.mark.parametrize("text", ["(" * 60_000 + "a. B " * 20_000, "[" * 30_000 + ")" * 30_000, "(" * 30_000 + "." + ")" * 30_000 + " A.", '"' * 50_001, "桥很旧。" * 30_000, "( " + ". " * 40_000 + ")", "a.b" * 50_000, "```\n" * 5_001, "http://a.test/" + "x." * 40_000, "www." * 30_000 + " x. Y"])
+def test_long_texts_take_linear_time(model, text):
+    import time
+
+    began = time.perf_counter()
+    spans = sentences.split(text, *model)
+    assert time.perf_counter() - began < 20
+    assert all(0 <= a < b <= len(text) for a, b in spans)
+
+
+def test_long_blocks_and_words():
+    for block in ["{" * 50_000, "f(" * 50_000, "<a" * 50_000, "a" + " " * 50_000 + "b", "1," * 50_000, "x " * 50_000 + "."]:
+        boilerplate.label(block, 0, set())
+        boilerplate.content_key(block, {"site"})
+    m = _model()
+    many = [f"w{chr(97 + i % 26)}{'abcdefgh'[i % 8]}{'ij'[i // 26 % 2] * (i // 1000 % 40)}q{'xyz'[i % 3] * (i % 50)}" for i in range(2000)] * 60
+    language.CACHE_WORDS, before = 500, language.CACHE_WORDS
+    try:
+        assert _model().classify(many)[0] == m.classify(many)[0]
+    finally:
+        language.CACHE_WORDS = before
