@@ -72,13 +72,16 @@ def top_n_clustered(spark, path: str, n: int, group: str, score: str, ties: list
     # By number: lists of paths are small, and would else be merged into one task.
     width = partitions_for(spark, spark.sparkContext.defaultParallelism)
     stats = row_group_stats(listed.repartition(width, "path"), group, score)
-    # Rows that are surely no worse: those of earlier row groups holding this group alone.
+    # A group's N-th score is at most the worst one of its best row groups that hold N rows;
+    # N row groups are enough to tell, however many the group has.
     single = F.col("lo") == F.col("hi")
-    ahead = Window.partitionBy("lo").orderBy("worst", "best", "path", "row_group").rowsBetween(Window.unboundedPreceding, -1)
-    one = stats.where(single).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    bound = Window.partitionBy("lo")
-    one = one.withColumn("nth", F.min(F.when(F.col("ahead") + F.col("n") >= n, F.col("worst"))).over(bound))
-    one = one.where(F.col("nth").isNull() | (F.col("best") <= F.col("nth"))) if skip else one
+    by_worst = Window.partitionBy("lo").orderBy("worst", "best", "path", "row_group")
+    one = stats.where(single)
+    first = one.withColumn("r", F.row_number().over(by_worst)).where(F.col("r") <= n)
+    upto = F.sum("n").over(by_worst.rowsBetween(Window.unboundedPreceding, 0))
+    nth = first.withColumn("upto", upto).where(F.col("upto") >= n).groupBy("lo").agg(F.min("worst").alias("nth"))
+    if skip:
+        one = one.join(nth, "lo", "left").where(F.col("nth").isNull() | (F.col("best") <= F.col("nth")))
     todo = one.select("path", "row_group", "best").unionByName(stats.where(~single | single.isNull()).select("path", "row_group", "best"))
     todo = todo.repartition(width, "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group"))).alias("todo"))
     names, order = [f.name for f in schema.fields], [score, *ties]
