@@ -19,6 +19,7 @@ _WRITTEN: list[str] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,9 +62,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster (once per session)."""
+    """Make this package importable in the Python workers, wherever they run (once per session)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     out = Path(tempfile.mkdtemp(prefix="colsift-zip-")) / "colsift.zip"
