@@ -1,10 +1,12 @@
 """Main content of web pages by a site style tree.
 
 The pages of a host are merged into one tree: host, presentation of a block (markup, list of
-items, line, sentence), content with digits and the host's own name masked. A node's
-importance is one minus the entropy of its spread over the pages, to the base of the host's
-pages: content that many pages of a host repeat carries no information about any of them.
-Nodes below the threshold are furniture wherever they stand.
+items, line, sentence), content with digits and the host's own name masked. The importance of
+a content node is one minus the entropy of its spread over the pages, to the base of the
+host's pages: content that many pages of a host repeat carries no information about any of
+them. That of a presentation node is the entropy of its contents, joined by ``DECAY`` with
+their mean importance; a share of it goes into that of its contents. Content nodes below the
+threshold are furniture wherever they stand.
 
 Single pages and small hosts show no repetition, so importance is passed on from nodes to
 their features: every word gets the odds of standing in nodes of low importance against nodes
@@ -30,9 +32,13 @@ from pyspark.sql import functions as F
 from colsift.runtime import cut, ship
 
 #: A node is of low importance if it stands on at least so many pages of its host, with at
-#: most this importance (1 - log n / log m), or on this share of the host's pages.
+#: most this importance.
 LOW_PAGES = 3
-LOW_SHARE = 0.10
+LOW_IMPORTANCE = 0.6
+#: A presentation node of l contents weighs their entropy with 1 - DECAY ** l and their mean
+#: importance with the rest; a content node's own importance weighs OWN_SHARE, its presentation's the rest.
+DECAY = 0.9
+OWN_SHARE = 0.7
 #: A node that is of low importance on this share of the hosts, and on two at least, is so on
 #: every page: by the share there are at most (low nodes of a host) / SHARED_HOSTS of them.
 SHARED_HOSTS = 1 / 500
@@ -82,8 +88,17 @@ _MASKED: dict[str, str] = {}
 CACHE_BLOCKS = 50_000
 
 
+def style(block: str) -> int:
+    """Presentation node of a block: 1 markup, 2 list of items, 3 sentence, 4 line."""
+    if is_markup(block):
+        return 1
+    if sum(bool(s.strip()) for s in _SEP.split(block)) >= 3 and not _END.search(block):
+        return 2
+    return 3 if _END.search(block) else 4
+
+
 def _masked(block: str) -> str:
-    """Small letters, whole numbers as 0, attribute values empty; pages of a host repeat blocks, so results are kept."""
+    """The style's sign, small letters, whole numbers as 0, attribute values empty; pages of a host repeat blocks, so results are kept."""
     known = _MASKED.get(block)
     if known is None:
         known = block.lower()
@@ -91,6 +106,7 @@ def _masked(block: str) -> str:
             known = _ZEROS.sub("0 ", _NUM.sub("0", known))
         if '"' in known:
             known = _QUOTED.sub('""', known)
+        known = chr(style(block)) + known
         if len(_MASKED) >= CACHE_BLOCKS:
             _MASKED.clear()
         _MASKED[block] = known
@@ -98,7 +114,7 @@ def _masked(block: str) -> str:
 
 
 def content_key(block: str, names: set[str]) -> int:
-    """Hash of a block's content node: small letters, numbers and the host's name masked."""
+    """Hash of a block's content node: presentation, small letters, numbers and the host's name masked."""
     masked = _masked(block)
     for name in names:
         if name in masked:
@@ -256,40 +272,63 @@ def pages_of(table_meta: DataFrame) -> DataFrame:
     ).dropDuplicates(["table_id"])
 
 
-def low_nodes(pages: DataFrame) -> tuple[DataFrame, frozenset[int]]:
-    """(host, low ARRAY<LONG>): content nodes of low importance in each host's style tree; and
-    those of low importance in the tree of all hosts.
-
-    A host has at most (blocks of a page) / LOW_SHARE of them. Hosts without a name stand alone.
-    """
+def with_nodes(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``nodes``: (style, key, c) of each content node and how often it stands on the page."""
     ship(pages.sparkSession)
+    nodes = pa.list_(pa.struct([("style", pa.int32()), ("key", pa.int64()), ("c", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
-            for host, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+            out = []
+            for host, *texts in zip(*(batch.column(c).to_pylist() for c in ("host", *(c for _, c in SIDES)))):
                 names = host_names(host)
-                # Spread is over pages: a block that a page repeats counts once.
-                own = {content_key(b, names) for t in texts for b in blocks(t)}
-                hosts += [host] * len(own)
-                keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
-
-    named = pages.where("host <> ''")
-    spread = named.select("host", *(c for _, c in SIDES)).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n"))
-    spread = cut(spread)
+                own = Counter((ord(_masked(b)[0]), content_key(b, names)) for t in texts for b in blocks(t)) if host else {}
+                out.append([{"style": s, "key": k, "c": c} for (s, k), c in own.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, nodes)], names=[*batch.schema.names, "nodes"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema.fields)
+    return pages.mapInArrow(run, f"{kinds}, nodes array<struct<style:int,key:bigint,c:bigint>>")
+
+
+def importances(noded: DataFrame) -> DataFrame:
+    """(host, style, key, n, importance): the content nodes of each host's style tree; hosts without a name have none.
+
+    A node that stands c_j times on page j has the entropy log C - sum(c_j log c_j) / C with
+    C = sum(c_j), so all comes from partial sums.
+    """
+    named = noded.where("host <> ''")
     size = cut(named.groupBy("host").agg(F.count("*").alias("m")))
-    total = size.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    wide = spread.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("hosts") >= WIDE_HOSTS) & (F.col("n") >= max(WIDE_PAGES, WIDE_SHARE * total)))
-    lows = spread.where(F.col("n") >= LOW_PAGES).join(size, "host").where(F.col("n") >= F.col("m") * LOW_SHARE)
+    flat = named.select("host", F.explode("nodes").alias("x")).select("host", "x.style", "x.key", "x.c")
+    surprise = lambda c: F.sum(F.col(c) * F.log(F.col(c).cast("double")))
+    spread = flat.groupBy("host", "style", "key").agg(F.count("*").alias("n"), F.sum("c").alias("c"), surprise("c").alias("l"))
+    entropy = lambda c, l: F.greatest(F.lit(0.0), F.log(F.col(c).cast("double")) - F.col(l) / F.col(c))
+    own = F.when(F.col("m") > 1, 1 - entropy("c", "l") / F.log(F.col("m").cast("double"))).otherwise(F.lit(1.0))
+    leaves = cut(spread.join(size, "host").select("host", "style", "key", "n", "c", own.alias("own")))
+    inner = leaves.groupBy("host", "style").agg(F.count("*").alias("kinds"), F.sum("c").alias("t"), surprise("c").alias("l"), (F.sum(F.col("c") * F.col("own")) / F.sum("c")).alias("mean"))
+    varied = F.when(F.col("t") > 1, entropy("t", "l") / F.log(F.col("t").cast("double"))).otherwise(F.lit(1.0))
+    rest = F.pow(F.lit(DECAY), F.col("kinds"))
+    inner = inner.select("host", "style", ((1 - rest) * varied + rest * F.col("mean")).alias("above"))
+    return leaves.join(inner, ["host", "style"]).select("host", "style", "key", "n", (OWN_SHARE * F.col("own") + (1 - OWN_SHARE) * F.col("above")).alias("importance"))
+
+
+def low_nodes(noded: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(host, low ARRAY<LONG>): content nodes of low importance in each host's style tree; and
+    those of low importance in the tree of all hosts.
+
+    A host of m pages has at most about (blocks of a page) * m ** (LOW_IMPORTANCE / OWN_SHARE) of them.
+    """
+    nodes = cut(importances(noded))
+    total = noded.where("host <> ''").count()
+    wide = nodes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("hosts") >= WIDE_HOSTS) & (F.col("n") >= max(WIDE_PAGES, WIDE_SHARE * total)))
+    lows = nodes.where((F.col("n") >= LOW_PAGES) & (F.col("importance") <= LOW_IMPORTANCE))
     return lows.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("low")), frozenset(r["key"] for r in wide.select("key").collect())
 
 
 def shared_nodes(treed: DataFrame) -> frozenset[int]:
     """Content nodes that are of low importance on many hosts; bounded by ``SHARED_HOSTS``."""
-    by_host = treed.where("low is not null").groupBy("host").agg(F.first("low").alias("low"))
-    least = max(2, math.ceil(by_host.count() * SHARED_HOSTS))
-    return frozenset(r[0] for r in by_host.select(F.explode("low").alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key").collect())
+    on = treed.select("host", F.explode("low").alias("key")).distinct()
+    least = max(2, math.ceil(on.agg(F.count_distinct("host")).first()[0] * SHARED_HOSTS))
+    return frozenset(r[0] for r in on.groupBy("key").count().where(F.col("count") >= least).select("key").collect())
 
 
 def train(treed: DataFrame, wide: frozenset[int] = frozenset()) -> Scorer:
@@ -338,10 +377,11 @@ def train(treed: DataFrame, wide: frozenset[int] = frozenset()) -> Scorer:
 
 
 def with_low_nodes(table_meta: DataFrame) -> tuple[DataFrame, frozenset[int]]:
-    """Pages with the low-importance nodes of their host, written once: later passes read it."""
-    pages = pages_of(table_meta)
-    lows, wide = low_nodes(pages)
-    return cut(pages.join(lows, "host", "left").select("table_id", "host", *(c for _, c in SIDES), "low")), wide
+    """Pages with those of their nodes that are of low importance, written once: later passes read it."""
+    noded = cut(with_nodes(pages_of(table_meta)))
+    lows, wide = low_nodes(noded)
+    own = F.array_intersect("low", F.transform("nodes", lambda x: x["key"]))
+    return cut(noded.join(lows, "host", "left").select("table_id", "host", *(c for _, c in SIDES), own.alias("low"))), wide
 
 
 def keep(block: str, key: int, low: set[int], scorer: Scorer) -> bool:

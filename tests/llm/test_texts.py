@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -141,6 +142,42 @@ def test_main_blocks_edges(spark):
     assert boilerplate.blocks("a\r\n\r\n b \n\t\nc") == ["a", "b", "c"]
 
 
+def test_importance_is_entropy_of_the_tree(spark):
+    """100 pages: a line on each, one on 9 of them, one that a page holds 9 times and two hold once, and one of each page's own."""
+    rows = []
+    for p in range(100):
+        own = "".join(chr(97 + int(d)) for d in f"{p:02d}")
+        lines = ["everywhere", f"own {own}"] + ["on nine"] * (p < 9) + ["in heaps"] * (9 if p == 0 else p < 3)
+        rows.append((p, "site.test", "\n".join(lines), ""))
+    pages = spark.createDataFrame(rows, "table_id int, host string, text_before_table string, text_after_table string")
+    noded = boilerplate.with_nodes(pages)
+    got = {r.key: r for r in boilerplate.importances(noded).collect()}
+    at = lambda b: got[boilerplate.content_key(b, boilerplate.host_names("site.test"))]
+    heaps = 1 - (math.log(11) - 9 * math.log(9) / 11) / math.log(100)
+    own = {"everywhere": 0.0, "own aa": 1.0, "on nine": 1 - math.log(9) / math.log(100), "in heaps": heaps}
+    counts = [100, 9, 11] + [1] * 100
+    t = sum(counts)
+    varied = (math.log(t) - sum(c * math.log(c) for c in counts) / t) / math.log(t)
+    mean = (100 * own["everywhere"] + 100 * own["own aa"] + 9 * own["on nine"] + 11 * heaps) / t
+    rest = boilerplate.DECAY ** len(counts)
+    above = (1 - rest) * varied + rest * mean
+    for block, v in own.items():
+        assert at(block).importance == pytest.approx(boilerplate.OWN_SHARE * v + (1 - boilerplate.OWN_SHARE) * above)
+        assert at(block).style == 4
+    # 9 of 100 pages were below the former share of a tenth; 3 pages, one of which holds nearly all, are no repetition.
+    low = set(boilerplate.low_nodes(noded)[0].first()["low"])
+    assert low == {at("everywhere").key, at("on nine").key}
+    assert boilerplate.content_key("a, b, c", set()) != boilerplate.content_key("a, b, c.", set())
+
+
+def test_pages_carry_their_own_low_nodes(spark):
+    rows = [(p, "http://site.test/", "menu\nabc" if p < 9 else "menu\n" + "xyz"[p % 3] * p, None) for p in range(18)]
+    treed, _ = boilerplate.with_low_nodes(spark.createDataFrame(rows, "table_id int, url string, text_before_table string, text_after_table string"))
+    names = boilerplate.host_names("site.test")
+    menu, abc = (boilerplate.content_key(b, names) for b in ("menu", "abc"))
+    assert all(set(r.low) == ({menu, abc} if r.table_id < 9 else {menu}) for r in treed.collect())
+
+
 # ---- languages
 
 _SAMPLES = {
