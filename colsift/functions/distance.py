@@ -67,6 +67,32 @@ def dtw_matrix(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
     return before[:, n]
 
 
+def dtw_within(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray) -> np.ndarray:
+    """``dtw_matrix`` of pairs up to their ``limit``; infinite beyond it. A pair ends once all cells of a row exceed the limit."""
+    n = a.shape[1]
+    out, left = np.full(len(a), np.inf), np.arange(len(a))
+    a, b, limit = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.asarray(limit, dtype=float)
+    before = np.full((n + 1, len(left)), np.inf)
+    before[0] = 0.0
+    for i in range(1, n + 1):
+        now = np.full((n + 1, len(left)), np.inf)
+        first, last = max(1, i - window), min(n, i + window)
+        cost = (a[i - 1] - b[first - 1 : last]) ** 2
+        near = np.minimum(before[first : last + 1], before[first - 1 : last])
+        for k, j in enumerate(range(first, last + 1)):
+            np.minimum(near[k], now[j - 1], out=now[j])
+            now[j] += cost[k]
+        before = now
+        if i % 5 == 0 and i < n:
+            kept = now[first : last + 1].min(axis=0) <= limit
+            if kept.mean() < 0.9:
+                left, limit, a, b, before = left[kept], limit[kept], a[:, kept], b[:, kept], now[:, kept]
+                if not len(left):
+                    return out
+    out[left] = np.where(before[n] <= limit, before[n], np.inf)
+    return out
+
+
 def dtw(warping: float):
     """Column function (a, b) -> squared DTW distance; band radius int(warping * length)."""
 

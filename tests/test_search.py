@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colsift.operators import blocks, discover, evaluate, knn, progressive, rank
+from colsift.functions import distance
+from colsift.operators import blocks, discover, evaluate, knn, progressive, rank, warping
 
 DIM, ENDS = 6, [2, 4, 6]
 
@@ -151,3 +152,29 @@ def test_unknown_words_are_left_out(spark):
     lex = spark.createDataFrame([("known", [3.0, 4.0]), ("broken", [float("nan"), 1.0])], "word string, vec array<double>")
     got = discover.embed_cells(tokens, lex, ["table_id", "set_id"], 2).collect()
     assert [(r.pos, r.v) for r in got] == [(0, [0.6, 0.8])]
+
+
+@pytest.mark.parametrize("block", [7, 1_000])
+def test_dtw_nearest_over_all_tables(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", block)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 20)).astype(np.float32)
+    x[40], x[90] = x[10], x[10]
+    x[20:30] += np.roll(x[30:40], 1, axis=1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, v array<float>").repartition(3)
+    q = df.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q_vec_id"), F.col("v").alias("q_v"))
+    want = {}
+    for i in range(0, 150, 5):
+        d = distance.dtw_matrix(np.repeat(x[i : i + 1], 150, 0).astype(float), x.astype(float), 2)
+        d[i] = np.inf
+        want[i] = (int(np.argmin(d)), pytest.approx(d.min()))
+    assert {r.q_vec_id: (r.vec_id, r.d) for r in warping.dtw_nearest(q, df, 0.1).collect()} == want
+    assert warping.dtw_nearest(q.limit(0), df).count() == 0
+
+
+def test_x3_answers_a_query_alone_in_its_table(spark, tmp_path):
+    from colsift.plans import index
+
+    rows = [(0, 1, 0, 0, [1.0] * 49 + [0.5]), (1, 2, 0, 0, [1.0] * 50), (2, 2, 0, 1, [3.0] * 50), (20, 2, 0, 2, [3.0] * 49 + [3.5])]
+    spark.createDataFrame(rows, "vec_id long, table_id int, set_id int, pos int, vec_values array<float>").write.parquet(f"{tmp_path}/cell_vectors.parquet")
+    assert {(r.q_vec_id, r.vec_id) for r in index.x3_dtw_nearest(spark, str(tmp_path)).collect()} == {(0, 1), (20, 2)}
