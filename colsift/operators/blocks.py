@@ -59,27 +59,31 @@ def split_gains(blocks: DataFrame, ends: list[int]) -> DataFrame:
     return out.withColumn("doubled", F.max("gain").over(best) * 2)
 
 
-def build_blocks(vectors: DataFrame, ends: list[int], capacity: int = 1000, max_levels: int = 12) -> DataFrame:
+def build_blocks(vectors: DataFrame, ends: list[int], capacity: int = 1000) -> DataFrame:
     """``vectors`` with ``stats`` and ``block_id``: blocks split until none exceeds ``capacity``.
 
     Each level splits every too large block at its best candidate, all blocks in one job, and
     writes the result once. Blocks of equal statistics can't be split and stay as they are.
+    Halves get the ids after the greatest in use, so the number of levels has no limit.
     """
     placed = cut(with_stats(vectors, ends).withColumn("block_id", F.lit(1).cast("long")))
-    for _ in range(max_levels):
+    after = 2
+    while True:
         large = placed.groupBy("block_id").count().where(F.col("count") > capacity).select("block_id")
         best = Window.partitionBy("block_id").orderBy(F.desc("gain"), "segment", "stat")
         todo = split_gains(placed.join(large, "block_id", "left_semi"), ends).withColumn("r", F.row_number().over(best)).where("r = 1")
-        plan = cut(todo.select("block_id", "segment", "stat", "split_at"))
-        if plan.isEmpty():
-            break
+        # One row a too large block; the window numbers them in one task.
+        number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("block_id"))
+        plan = cut(todo.select("block_id", "segment", "stat", "split_at", (F.lit(after) + 2 * (number - 1)).cast("long").alias("half")))
+        if not (n := plan.count()):
+            return placed
         at = F.element_at("stats", F.col("segment") + 1)
         right = F.when(F.col("stat") == "mu", at["mu"]).otherwise(at["sd"]) >= F.col("split_at")
-        # One plan row a block: the broadcast has at most 2 ** levels rows.
+        # One plan row a too large block: the broadcast has fewer rows than vectors / capacity.
         moved = placed.join(F.broadcast(plan), "block_id", "left")
-        code = F.when(F.col("segment").isNull(), F.col("block_id")).otherwise(F.col("block_id") * 2 + F.when(right, F.lit(1)).otherwise(F.lit(0)))
-        placed = cut(moved.withColumn("block_id", code.cast("long")).drop("segment", "stat", "split_at"))
-    return placed
+        code = F.when(F.col("segment").isNull(), F.col("block_id")).otherwise(F.col("half") + F.when(right, F.lit(1)).otherwise(F.lit(0)))
+        placed = cut(moved.withColumn("block_id", code.cast("long")).drop("segment", "stat", "split_at", "half"))
+        after += 2 * n
 
 
 def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int]) -> DataFrame:

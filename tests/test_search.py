@@ -178,3 +178,12 @@ def test_x3_answers_a_query_alone_in_its_table(spark, tmp_path):
     rows = [(0, 1, 0, 0, [1.0] * 49 + [0.5]), (1, 2, 0, 0, [1.0] * 50), (2, 2, 0, 1, [3.0] * 50), (20, 2, 0, 2, [3.0] * 49 + [3.5])]
     spark.createDataFrame(rows, "vec_id long, table_id int, set_id int, pos int, vec_values array<float>").write.parquet(f"{tmp_path}/cell_vectors.parquet")
     assert {(r.q_vec_id, r.vec_id) for r in index.x3_dtw_nearest(spark, str(tmp_path)).collect()} == {(0, 1), (20, 2)}
+
+
+def test_blocks_split_until_none_is_too_large(spark):
+    """Outliers that double take one level each; vectors that are equal stay together."""
+    rows = [(1, 0, i, [2.0**i] * DIM) for i in range(16)] + [(2, 0, i, [0.5] * DIM) for i in range(5)]
+    built = blocks.build_blocks(spark.createDataFrame(rows, "table_id int, set_id int, pos int, v array<double>"), ENDS, 3)
+    sizes = built.groupBy("block_id").agg(F.count("*").alias("n"), F.count_distinct("v").alias("kinds")).collect()
+    assert sum(r.n for r in sizes) == 21
+    assert all(r.n <= 3 or r.kinds == 1 for r in sizes)
