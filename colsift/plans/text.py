@@ -44,7 +44,13 @@ def u1_distinct_tokens(spark, sf_dir):
 
 @query(f"WITH {_CELLS} SELECT DISTINCT cell, LOWER(cell) AS lowered FROM cell WHERE cell IS NOT NULL AND REGEXP_MATCHES(cell, '^[ -~]+$')")
 def x16_lowered(spark, sf_dir):
-    return cells(spark, sf_dir).where("cell rlike '^[ -~]+$'").select("cell", F.lower("cell").alias("lowered")).distinct()
+    """The cells whose small letters the SQL gives alike; ``x16_all_lowered`` has all."""
+    return x16_all_lowered(spark, sf_dir).where("cell rlike '^[ -~]+$'")
+
+
+@query()
+def x16_all_lowered(spark, sf_dir):
+    return cells(spark, sf_dir).where("cell is not null").select("cell", F.lower("cell").alias("lowered")).distinct()
 
 
 @query("""SELECT DISTINCT table_id, CAST(LEN(relation) AS INT) AS n_cols, CAST(COALESCE(LIST_MAX(LIST_TRANSFORM(relation, lambda c: COALESCE(LEN(c), 0))), 0) AS INT) AS n_rows,
@@ -87,7 +93,13 @@ lex AS (SELECT word, LIST_TRANSFORM(RANGE({DIM}), lambda i: ('0x' || SUBSTR(MD5(
 
 @query(f"WITH {_CELLS}, {_TOKENS}, {_WORDS} SELECT word, ROUND(vec[1], 6) AS first, ROUND(LIST_SUM(vec), 6) AS total FROM lex WHERE REGEXP_MATCHES(word, '^[a-z]+$')")
 def j11_hash_lexicon(spark, sf_dir):
-    words = tokens(spark, sf_dir).select(F.explode(F.split("token", " ")).alias("word")).where("word rlike '^[a-z]+$'").distinct()
+    """The words of small Latin letters, as the SQL has them; ``j11_whole_lexicon`` has all."""
+    return j11_whole_lexicon(spark, sf_dir).where("word rlike '^[a-z]+$'")
+
+
+@query()
+def j11_whole_lexicon(spark, sf_dir):
+    words = tokens(spark, sf_dir).select(F.explode(F.split("token", " ")).alias("word")).where("word <> ''").distinct()
     lex = D.hash_lexicon(words, DIM)
     return lex.select("word", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
