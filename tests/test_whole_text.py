@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from colsift.plans import text
+from colsift.plans import io, text
 
 CELLS = ["Straße", "ÉCOLE 12", "Ωmega", "你好", "plain", "B2B x", "été", "PLAIN"]
 
@@ -26,3 +26,10 @@ def test_all_words_and_cells(spark, tables):
     assert got == {w: (pytest.approx(_vector(w)[0], abs=1e-6), pytest.approx(sum(_vector(w)), abs=2e-6)) for w in words}
     cells = {c for c in CELLS} | {c + " q" for c in CELLS}
     assert {(r.cell, r.lowered) for r in text.x16_all_lowered(spark, tables).collect()} == {(c, c.lower()) for c in cells}
+
+
+def test_all_blocks_of_the_stored_index(spark, tmp_path):
+    signs = [[1.0 if b >> i & 1 else -1.0 for i in range(5)] for b in range(32)]
+    rows = [(b, 1, 0, b, [x for x in signs[b] for _ in range(10)]) for b in range(32)]
+    spark.createDataFrame(rows, "vec_id long, table_id int, set_id int, pos int, vec_values array<float>").write.parquet(f"{tmp_path}/cell_vectors.parquet")
+    assert sorted(tuple(r) for r in io.s18_whole_index(spark, str(tmp_path)).collect()) == [(b, b) for b in range(32)]
