@@ -28,6 +28,16 @@ def test_all_words_and_cells(spark, tables):
     assert {(r.cell, r.lowered) for r in text.x16_all_lowered(spark, tables).collect()} == {(c, c.lower()) for c in cells}
 
 
+def test_all_tables(spark, tables):
+    tokens = [{c.lower() for c in CELLS}, {c.lower() + " q" for c in CELLS}]
+    got = {(r.table_id, r.set_id, r.token) for r in io.k5_whole_snapshot(spark, tables).collect()}
+    assert got == {(t, s, c) for t in (3, 20, 41) for s in (0, 1) for c in tokens[s]}
+    got = {(r.table_id, r.set_id): (r.n, r.s0) for r in text.a9_all_cell_vectors(spark, tables).collect()}
+    unit = lambda w: _vector(w)[0] / sum(x * x for x in _vector(w)) ** 0.5
+    s0 = [sum(sum(map(unit, c.split(" "))) / len(c.split(" ")) for c in tokens[s]) for s in (0, 1)]
+    assert got == {(t, s): (len(tokens[s]), pytest.approx(s0[s], abs=2e-5)) for t in (3, 20, 41) for s in (0, 1)}
+
+
 def test_all_blocks_of_the_stored_index(spark, tmp_path):
     signs = [[1.0 if b >> i & 1 else -1.0 for i in range(5)] for b in range(32)]
     rows = [(b, 1, 0, b, [x for x in signs[b] for _ in range(10)]) for b in range(32)]
