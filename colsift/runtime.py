@@ -26,13 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a folder of our own is made and
-    removed when the driver ends.
+    Only where the setting is absent in local mode (tests) a folder of our own is made and
+    removed when the driver ends; a cluster without the setting is an error, as its executors
+    share no temporary folder.
     """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="colsift-")
         atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
@@ -61,6 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts lineage, keeps columns apart and packed."""
+    path = shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever they run (once per session)."""
     sc = spark.sparkContext
