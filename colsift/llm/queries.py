@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_blocks(table(spark, sf_dir, "table_meta"))
 
 
+def p1_deciders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of each presentation the tree settles, and the model where it doesn't."""
+    return boilerplate.deciders(table(spark, sf_dir, "table_meta"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.nearest_matches(table(spark, sf_dir, "match_rows"), 10).drop("d")
 
@@ -74,7 +79,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_parts, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
 }
 
 _PAIRS = """

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from colsift.llm import boilerplate, language, sentences, skeleton
@@ -142,40 +144,66 @@ def test_main_blocks_edges(spark):
     assert boilerplate.blocks("a\r\n\r\n b \n\t\nc") == ["a", "b", "c"]
 
 
+def _key(block, style, host="site.test"):
+    at, key = boilerplate.features(pa.array([block]), np.array([style], np.int8), [host])
+    return key.tolist()
+
+
+def _pages(spark, texts, host="site.test"):
+    rows = [(i, f"http://{host}/{i}", t, "") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "table_id int, url string, text_before_table string, text_after_table string")
+
+
 def test_importance_is_entropy_of_the_tree(spark):
-    """100 pages: a line on each, one on 9 of them, one that a page holds 9 times and two hold once, and one of each page's own."""
-    rows = []
+    """100 pages: a sentence on each, one on 9 of them, one that a page holds 9 times and two hold once, and one of each page's own."""
+    texts = []
     for p in range(100):
         own = "".join(chr(97 + int(d)) for d in f"{p:02d}")
-        lines = ["everywhere", f"own {own}"] + ["on nine"] * (p < 9) + ["in heaps"] * (9 if p == 0 else p < 3)
-        rows.append((p, "site.test", "\n".join(lines), ""))
-    pages = spark.createDataFrame(rows, "table_id int, host string, text_before_table string, text_after_table string")
-    noded = boilerplate.with_nodes(pages)
-    got = {r.key: r for r in boilerplate.importances(noded).collect()}
-    at = lambda b: got[boilerplate.content_key(b, boilerplate.host_names("site.test"))]
+        texts.append("\n".join(["Everywhere.", f"Own {own}."] + ["On nine."] * (p < 9) + ["In heaps."] * (9 if p == 0 else p < 3)))
+    got = {r.key: r.importance for r in boilerplate.style_tree(boilerplate.pages_of(_pages(spark, texts))).collect()}
+    (everywhere,), (own_aa,), (on_nine,), (in_heaps,) = (_key(b, boilerplate.SENTENCES) for b in ("Everywhere.", "Own aa.", "On nine.", "In heaps."))
     heaps = 1 - (math.log(11) - 9 * math.log(9) / 11) / math.log(100)
-    own = {"everywhere": 0.0, "own aa": 1.0, "on nine": 1 - math.log(9) / math.log(100), "in heaps": heaps}
+    nine = 1 - math.log(9) / math.log(100)
+    assert got[everywhere] == pytest.approx(0, abs=1e-9) and got[on_nine] == pytest.approx(nine) and got[in_heaps] == pytest.approx(heaps)
+    assert own_aa not in got and got[0] == 100
     counts = [100, 9, 11] + [1] * 100
     t = sum(counts)
     varied = (math.log(t) - sum(c * math.log(c) for c in counts) / t) / math.log(t)
-    mean = (100 * own["everywhere"] + 100 * own["own aa"] + 9 * own["on nine"] + 11 * heaps) / t
+    mean = (100 * 0 + 100 * 1 + 9 * nine + 11 * heaps) / t
     rest = boilerplate.DECAY ** len(counts)
-    above = (1 - rest) * varied + rest * mean
-    for block, v in own.items():
-        assert at(block).importance == pytest.approx(boilerplate.OWN_SHARE * v + (1 - boilerplate.OWN_SHARE) * above)
-        assert at(block).style == 4
-    # 9 of 100 pages were below the former share of a tenth; 3 pages, one of which holds nearly all, are no repetition.
-    low = set(boilerplate.low_nodes(noded)[0].first()["low"])
-    assert low == {at("everywhere").key, at("on nine").key}
-    assert boilerplate.content_key("a, b, c", set()) != boilerplate.content_key("a, b, c.", set())
-
-
-def test_pages_carry_their_own_low_nodes(spark):
-    rows = [(p, "http://site.test/", "menu\nabc" if p < 9 else "menu\n" + "xyz"[p % 3] * p, None) for p in range(18)]
-    treed, _ = boilerplate.with_low_nodes(spark.createDataFrame(rows, "table_id int, url string, text_before_table string, text_after_table string"))
-    names = boilerplate.host_names("site.test")
-    menu, abc = (boilerplate.content_key(b, names) for b in ("menu", "abc"))
-    assert all(set(r.low) == ({menu, abc} if r.table_id < 9 else {menu}) for r in treed.collect())
+    assert got[boilerplate.SENTENCES] == pytest.approx((1 - rest) * varied + rest * mean)
+
+
+def test_presentations_and_features():
+    style = {"Home | News | Contact": 2, "<li>x</li>": 1, "f(x);": 1, "A sentence. And more": 3, "Back to top": 4, "the height = 3.14": 5, "the height = 3": 4, "a, b, c": 2, "a, b, c.": 3}
+    assert boilerplate.styles(pa.array(list(style))).tolist() == list(style.values())
+    assert sorted(_key("News | Home", 2)) == sorted(_key("Home | News", 2)) and len(_key("Home | News", 2)) == 2
+    assert _key("Page 12 of site", 4) == _key("Page 7 of SITE", 4) and _key("a", 3) != _key("a", 4)
+    assert _key("The value was 3.5.", 3) != _key("The value was 3.6.", 3) and _key("It took 3 days.", 3) == _key("It took 4 days.", 3)
+    assert len(_key("|||", 2)) == 1
+    at, key = boilerplate.features(pa.array([], pa.string()), np.zeros(0, np.int8), [])
+    assert len(at) == len(key) == 0
+
+
+def test_the_tree_alone_removes_shuffled_menus(spark):
+    rng = random.Random(11)
+    items = ["Home", "News", "Contact", "Imprint", "Archive", "Search", "Members", "Help"]
+    texts = []
+    for i in range(60):
+        name = "".join(rng.choice("abcdefgh") for _ in range(9)).title()
+        texts.append("\n".join([" | ".join(rng.sample(items, 6)), f"The survey of {name} began in spring.", "window." + name + ".push({});", "Subscribe now to our letter!"]))
+    df = _pages(spark, texts)
+    for fallback in (False, True):
+        got = boilerplate.main_blocks(df, fallback=fallback).collect()
+        assert {(r.table_id, r.side, r.block_no) for r in got} == {(i, "before", 1) for i in range(60)} and len(got) == 60
+    shares = boilerplate.deciders(df).groupBy("by_tree").sum("blocks").collect()
+    assert {r[0]: r[1] for r in shares}[True] >= 180
+    before = boilerplate.CHUNK_PAGES
+    try:
+        boilerplate.CHUNK_PAGES = 7
+        assert boilerplate.main_blocks(df, fallback=False).count() == 60, "parts of a host are judged by the whole host"
+    finally:
+        boilerplate.CHUNK_PAGES = before
 
 
 # ---- languages
@@ -235,8 +263,9 @@ def test_long_texts_take_linear_time(model, text):
 
 def test_long_blocks_and_words():
     for block in ["{" * 50_000, "f(" * 50_000, "<a" * 50_000, "a" + " " * 50_000 + "b", "1," * 50_000, "x " * 50_000 + "."]:
-        boilerplate.label(block, 0, set())
-        boilerplate.content_key(block, {"site"})
+        one = pa.array([block])
+        boilerplate.features(one, boilerplate.styles(one), ["site"])
+        boilerplate.layout(one)
     m = _model()
     many = [f"w{chr(97 + i % 26)}{'abcdefgh'[i % 8]}{'ij'[i // 26 % 2] * (i // 1000 % 40)}q{'xyz'[i % 3] * (i % 50)}" for i in range(2000)] * 60
     language.CACHE_WORDS, before = 500, language.CACHE_WORDS
