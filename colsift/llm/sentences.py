@@ -10,41 +10,49 @@ and the quotes.
 
 It is trained on boundaries that need no judgement: the end of one paragraph and the start of
 the next make a true boundary; a mark before a comma, before a small letter in a text that
-writes capitals, inside a number or name, or after a token that carries many dots yet never
-ends a paragraph, a false one. The counts cover all documents; the classifier is fitted on at
-most ``FIT_DOCUMENTS`` documents, drawn by a hash of their id.
+writes capitals, inside a number or name, or after a token that carries many dots and hardly
+ever ends a paragraph, a false one. The counts cover all documents and all tokens; the
+classifier is fitted on at most ``FIT_DOCUMENTS`` documents, drawn by a hash of their id.
+
+Every text is read once: the reading pass writes the paragraphs and candidates of each document
+as packed numbers, its tokens as hashes, and the counts of what it read. Chunks of documents
+then meet the counts of the tokens they hold, and all their candidates are classified at once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsift.runtime import cut, ship
+from colsift.runtime import ship, written
 
-#: Documents the classifier is fitted on.
+#: Documents the classifier is fitted on, and documents that are classified together.
 FIT_DOCUMENTS = 4_000
-#: A token is counted if it makes up at least this share of all tokens at paragraph ends or
-#: starts or before marks, so the table sent to all tasks has at most a few hundred thousand rows.
-COUNT_SHARE = 1 / 100_000
-COUNT_LEAST = 2
-#: Dots a token must carry, never ending a paragraph, to count as a sure abbreviation in training.
+CHUNK_DOCUMENTS = 8_192
+#: Dots a token must carry to count as a sure abbreviation in training, and the share of them
+#: that may end a paragraph all the same.
 SURE_DOTS = 20
+SURE_SHARE = 0.01
+#: A run without blanks of more characters is no word but one of a kind of its own.
+LONG_TOKEN = 60
 
 _MARKS = re.compile(r"[.!?…。！？．｡।॥؟۔]+")
 _FULL = set("。！？．｡।॥؟۔")
 _OPEN = {"(": ")", "[": "]", "«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "‹": "›"}
 _QUOTING = re.compile("[" + re.escape("".join({*_OPEN, *"".join(_OPEN.values()), '"', "`"})) + "]")
-#: Characters after a mark within which its closing sign is looked for.
-_TAIL = 64
+#: Marks, closing signs and blanks, as they stand after the last word of a sentence.
+_TRAIN = re.compile("[\\s.!?…。！？．｡।॥؟۔" + re.escape(")]»”“\"'’」』）】》›") + "]+")
 _CLOSERS = set(")]»”“\"'’」』）】》›")
 _OPENERS = "([«„“\"'‘「『（【《¿¡‹*_`"
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
@@ -55,14 +63,13 @@ _RUN = re.compile(r"\S+")
 _FENCE = re.compile(r"[ \t]{0,3}(```|~~~)")
 _CLOSES = {f: re.compile(rf"(?m)^[ \t]*{f}") for f in ("```", "~~~")}
 #: Scripts without blanks between words: their tokens are the first or last characters of a run.
-_NO_BLANKS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
+_NO_BLANKS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 #: Scripts among them in which a blank, not a mark, ends a sentence.
 _BLANK_ENDS = re.compile(r"(?<=[ก-๛ກ-ໟក-៿])[  \n\r]+(?=[ก-๛ກ-ໟក-៿])")
 
 
 def _no_blanks(ch: str) -> bool:
-    o = ord(ch)
-    return any(a <= o <= b for a, b in _NO_BLANKS)
+    return ch >= "฀" and _NO_BLANKS.match(ch) is not None
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -167,17 +174,16 @@ def _pairs(p: str) -> tuple[list[int], dict[int, int]]:
     return around, {b: a for a, b in matched}
 
 
-def _previous(p: str, i: int) -> str:
-    """The token that ends before position ``i``."""
+def _previous(p: str, i: int, run_start: int) -> str:
+    """The token that ends before position ``i``, in the run of characters that starts at ``run_start``."""
     if i > 0 and _no_blanks(p[i - 1]):
         a = i
         while a > max(0, i - 4) and _no_blanks(p[a - 1]):
             a -= 1
         return p[a:i]
-    a = i
-    while a > 0 and not p[a - 1].isspace() and i - a < 60:
-        a -= 1
-    run = p[a:i].lstrip(_OPENERS)
+    if i - run_start > LONG_TOKEN:
+        return "<long>"
+    run = p[run_start:i].lstrip(_OPENERS)
     if _NUMBER.fullmatch(run):
         return "<num>"
     if len(run) == 1 and run.isupper():
@@ -199,18 +205,11 @@ def _next(p: str, i: int) -> str:
     return "<num>" if m.group()[0].isdigit() else m.group().lower()
 
 
-def words(p: str) -> list[str]:
-    """Tokens of a paragraph as the counts see them."""
-    out = []
-    for m in _WORD.finditer(p):
-        w = m.group()
-        if _no_blanks(w[0]):
-            out.append(w[:3])
-            if len(w) > 4:
-                out.append(w[-4:])
-        else:
-            out.append("<num>" if w[0].isdigit() else "<initial>" if len(w) == 1 and w.isupper() else w.lower())
-    return out
+def word_tokens(w: str) -> list[str]:
+    """Tokens of a word as the counts see them."""
+    if _no_blanks(w[0]):
+        return [w[:3], w[-4:]] if len(w) > 4 else [w[:3]]
+    return ["<num>" if w[0].isdigit() else "<initial>" if len(w) == 1 and w.isupper() else w.lower()]
 
 
 @dataclass
@@ -227,32 +226,51 @@ class Candidate:
     bracket: bool = False  # the closed pair is one of brackets
 
 
+def _runs(p: str) -> list[int]:
+    """Starts of the runs of characters that are no blanks."""
+    return [m.start() for m in _RUN.finditer(p)]
+
+
+def _before_colon(p: str, i: int) -> bool:
+    while i > 0 and p[i - 1].isspace():
+        i -= 1
+    return i > 0 and p[i - 1] in ":："
+
+
 def candidates(p: str) -> list[Candidate]:
-    """Possible boundaries inside one paragraph, in order."""
-    around, opened = _pairs(p)
+    """Possible boundaries inside one paragraph, in order; linear in the paragraph."""
     out: list[Candidate] = []
     end = len(p.rstrip())
-    addresses = deque(m.span() for m in _RUN.finditer(p) if "://" in m.group() or m.group().startswith("www."))
-    skip_to = 0
-    if m := _LIST.match(p):
-        skip_to = m.end()
-    for m in _MARKS.finditer(p):
+    marks = [m for m in _MARKS.finditer(p)]
+    packed = not p.isascii() and _BLANK_ENDS.search(p) is not None
+    if not packed and (not marks or marks[0].start() >= end):
+        return out
+    starts = _runs(p)
+    around, opened = _pairs(p) if _QUOTING.search(p) else (None, {})
+    addresses: deque = deque()
+    if "://" in p or "www." in p:
+        addresses = deque(m.span() for m in _RUN.finditer(p) if "://" in m.group() or m.group().startswith("www."))
+    #: For every train of signs: its end and its last closer of a pair that opened before it.
+    train_end, closer = -1, -1
+    skip_to = m.end() if (m := _LIST.match(p)) else 0
+    for m in marks:
         a, e = m.span()
         if a < skip_to:
             continue
         was, at = -1, e
-        if around[a] >= 0:
+        if around is not None and around[a] >= 0:
             # Inside a pair only its very end can be a boundary, past its closer.
-            k = e
-            while k < min(end, e + _TAIL) and (p[k].isspace() or p[k] in _CLOSERS or _MARKS.match(p[k])):
-                if k in opened and opened[k] <= a:
-                    was, at = opened[k], k + 1
-                k += 1
+            if a >= train_end:
+                t = _TRAIN.match(p, a)
+                train_end = min(t.end(), end)
+                closer = next((k for k in range(train_end - 1, a, -1) if opened.get(k, a) < a), -1)
+            if closer >= e:
+                was, at = opened[closer], closer + 1
             if was < 0 or (at < len(p) and around[at - 1] != was and around[at - 1] >= 0):
                 continue
-        while at < end and p[at] in _CLOSERS and at not in opened and around[at] < 0:
+        while at < end and p[at] in _CLOSERS and at not in opened and (around is None or around[at] < 0):
             at += 1
-        if m2 := _MARKS.match(p, at):
+        if at < end and (m2 := _MARKS.match(p, at)):
             at = m2.end()
         if at >= end:
             continue
@@ -264,31 +282,105 @@ def candidates(p: str) -> list[Candidate]:
         g = at
         while g < end and p[g].isspace():
             g += 1
-        colon = was >= 0 and p[max(0, was - 8) : was].rstrip()[-1:] in (":", "：")
-        out.append(Candidate(at, m.group(), _previous(p, a), _next(p, at), p[at:g], p[g], was >= 0 or at > e, colon, was, was >= 0 and p[was] in "([（【"))
-    for m in _BLANK_ENDS.finditer(p):
-        if around[m.start()] < 0:
-            out.append(Candidate(m.start(), " ", _previous(p, m.start()), _next(p, m.end()), m.group(), p[m.end()]))
-    out.sort(key=lambda c: c.at)
+        run = starts[bisect_right(starts, a) - 1]
+        out.append(Candidate(at, m.group(), _previous(p, a, run if run < a else a), _next(p, at), p[at:g], p[g], was >= 0 or at > e, was >= 0 and _before_colon(p, was), was, was >= 0 and p[was] in "([（【"))
+    if packed:
+        for m in _BLANK_ENDS.finditer(p):
+            if around is None or around[m.start()] < 0:
+                i = m.start()
+                out.append(Candidate(i, " ", _previous(p, i, starts[bisect_right(starts, i - 1) - 1]), _next(p, m.end()), m.group(), p[m.end()]))
+        out.sort(key=lambda c: c.at)
     return out
 
 
-@dataclass
-class Counts:
-    """Per token: before a dot, at a paragraph's end before its dot, at a paragraph's start, overall."""
+#: Bits of a candidate's flags.
+(_DOT, _ASKS, _IS_FULL, _DOTS, _BLANK, _NO_GAP, _BREAKS, _LOWER, _UPPER, _DIGIT, _LETTER, _SIGN, _OPENS, _CLOSED, _COLON, _PAIR, _BRACKET, _NUM, _INITIAL, _DOTTED, _SHORT, _LOW_TEXT) = (1 << i for i in range(22))
+_KINDS = ("dot", "final", "start", "total")
+
+
+@lru_cache(maxsize=100_000)
+def token_hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token) - (1 << 63)
+
+
+@lru_cache(maxsize=4096)
+def _following(ch: str) -> int:
+    if ch.islower():
+        return _LOWER
+    if ch.isupper():
+        return _UPPER
+    if ch.isdigit():
+        return _DIGIT
+    if ch.isalpha():
+        return _LETTER
+    return _OPENS if ch in _OPENERS else _SIGN
+
+
+def flags(c: Candidate, low_text: bool) -> int:
+    """All of a candidate but its positions and tokens."""
+    first, out = c.mark[0], _following(c.following)
+    if first == ".":
+        out |= _DOT if len(c.mark) == 1 else _DOTS * (c.mark[1] == ".")
+        if len(c.mark) == 1:
+            out |= _DOTTED * ("." in c.before) | _SHORT * (len(c.before) <= 3) | _NUM * (c.before == "<num>") | _INITIAL * (c.before == "<initial>")
+    elif first in "!?":
+        out |= _ASKS
+    elif first == "…":
+        out |= _DOTS
+    elif first == " ":
+        out |= _BLANK
+    if first in _FULL:
+        out |= _IS_FULL
+    if not c.gap:
+        out |= _NO_GAP
+    elif "\n" in c.gap:
+        out |= _BREAKS
+    return out | _CLOSED * c.closer | _COLON * c.colon | _PAIR * (c.opened >= 0) | _BRACKET * c.bracket | _LOW_TEXT * low_text
 
-    of: dict[str, tuple[int, int, int, int]] = field(default_factory=dict)
-    dots: int = 1
-    finals: int = 1
-    starts: int = 1
-    total: int = 1
 
-
-def careless(parts: list[str]) -> bool:
+@dataclass
+class Counts:
+    """Per token, by its hash: before a dot, at a paragraph's end before its dot, at a paragraph's start, overall."""
+
+    keys: np.ndarray  # sorted
+    of: np.ndarray  # one row of four a key
+    totals: np.ndarray
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(keys), 4))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys)[:, None], self.of[at], 0.0)
+
+
+def no_counts() -> Counts:
+    return Counts(np.zeros(0, np.int64), np.zeros((0, 4)), np.ones(4))
+
+
+def features(f: np.ndarray, before: np.ndarray, after: np.ndarray, at_start: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The classifier's view of candidates: flags, counts of the tokens around, and whether the closed pair began the sentence."""
+    is_ = lambda bit: (f & bit) != 0
+    dots, finals, starts, total = np.maximum(totals, 1)
+    d, e, t, s, u = before[:, 0], before[:, 1], before[:, 3], after[:, 2], after[:, 3]
+    log = lambda x, y: np.clip(np.log(x / y), -4.0, 3.0)
+    final = log(e + 0.5, d * finals / dots + 0.5)
+    begins = log(s + 0.3, u * starts / total + 0.3)
+    bare = log(np.maximum(0, t - d) + 1.0, d + 1.0)
+    dot, gapless, lower, low, colon, pair = is_(_DOT), is_(_NO_GAP), is_(_LOWER), is_(_LOW_TEXT), is_(_COLON), is_(_PAIR)
+    at_start = at_start & pair
+    return np.column_stack([
+        np.ones(len(f)), dot, is_(_ASKS), is_(_IS_FULL), is_(_DOTS), is_(_BLANK), gapless, gapless & dot, is_(_BREAKS), lower & ~low, lower & low,
+        is_(_UPPER), is_(_DIGIT), is_(_LETTER), is_(_SIGN), is_(_OPENS), is_(_CLOSED), colon, at_start & ~colon & ~is_(_BRACKET), at_start & is_(_BRACKET), pair & ~at_start & ~colon,
+        dot & is_(_NUM), dot & is_(_INITIAL), dot & is_(_DOTTED), dot & is_(_SHORT),
+        final * dot, begins, bare * dot, begins * dot, begins * is_(_CLOSED), begins * gapless, begins * (dot & is_(_NUM)),
+    ])
+
+
+def careless(text: str, spans: list[tuple[int, int]]) -> bool:
     """Whether a text doesn't start its sentences with capitals."""
     low = high = 0
-    for p in parts:
-        m = re.search(r"[^\W\d_]", p)
+    for a, b in spans:
+        m = _LETTERS.search(text, a, b)
         if m and m.group().islower():
             low += 1
         elif m and m.group().isupper():
@@ -296,91 +388,70 @@ def careless(parts: list[str]) -> bool:
     return 2 * low >= high and low > 0
 
 
-def features(c: Candidate, start: int, lower_text: bool, n: Counts, own_end: bool = False, own_start: bool = False) -> list[float]:
-    """The classifier's view of a candidate; ``own_*`` take a training row's own counts out."""
-    dot = c.mark[0] == "." and len(c.mark) == 1
-    d, f, _, t = n.of.get(c.before, (0, 0, 0, 0))
-    _, _, s, u = n.of.get(c.after, (0, 0, 0, 0))
-    if own_end:
-        d, f, t = max(0, d - 1), max(0, f - 1), max(0, t - 1)
-    if own_start:
-        s, u = max(0, s - 1), max(0, u - 1)
-    clip = lambda x: max(-4.0, min(3.0, x))
-    final = clip(math.log((f + 0.5) / (d * n.finals / n.dots + 0.5)))
-    begins = clip(math.log((s + 0.3) / (u * n.starts / n.total + 0.3)))
-    bare = clip(math.log((max(0, t - d) + 1.0) / (d + 1.0)))
-    ch = c.following
-    lower, upper = ch.islower(), ch.isupper()
-    letter = ch.isalpha()
-    at_start = c.opened >= 0 and c.opened <= start
-    return [
-        1.0, float(dot), float(c.mark[0] in "!?"), float(c.mark[0] in _FULL), float(c.mark[0] == "…" or c.mark.startswith("..")), float(c.mark == " "),
-        float(not c.gap), float(not c.gap and dot), float("\n" in c.gap),
-        float(lower and not lower_text), float(lower and lower_text), float(upper), float(ch.isdigit()), float(letter and not lower and not upper),
-        float(not letter and not ch.isdigit() and ch not in _OPENERS), float(ch in _OPENERS),
-        float(c.closer), float(c.colon), float(at_start and not c.colon and not c.bracket), float(at_start and c.bracket),
-        float(c.opened >= 0 and not at_start and not c.colon),
-        float(dot and c.before == "<num>"), float(dot and c.before == "<initial>"), float(dot and "." in c.before), float(dot and len(c.before) <= 3),
-        final if dot else 0.0, begins, bare if dot else 0.0, begins if dot else 0.0, begins if c.closer else 0.0, begins if not c.gap else 0.0,
-        begins if dot and c.before == "<num>" else 0.0,
-    ]
-
-
-def count_text(text: str, into: dict[str, Counter]) -> None:
-    """Add one document's counts."""
-    for a, b in paragraphs(text):
+_LETTERS = re.compile(r"[^\W\d_]")
+_STRIPPED = "".join(_CLOSERS)
+
+
+def read(text: str, into: dict[str, Counter] | None = None) -> tuple[list[int], list[tuple]]:
+    """One text: (start, end, ...) of its paragraphs without blanks at either end, and its candidates
+    as (at, next, opened, flags, before, after), tokens as hashes, positions from the text's start.
+
+    ``into`` gets the counts: of tokens by kind, of words as they stand under 'words'.
+    """
+    spans = paragraphs(text)
+    low = careless(text, spans)
+    ends: list[int] = []
+    out: list[tuple] = []
+    for a, b in spans:
         p = text[a:b]
-        body = p[m.end() :] if (m := _LIST.match(p)) else p
-        into["total"].update(words(body))
-        into["start"][_next(body, 0)] += 1
-        tail = body.rstrip().rstrip("".join(_CLOSERS)).rstrip()
-        if tail.endswith(".") and not tail.endswith(".."):
-            last = _previous(tail, len(tail) - 1)
+        found = candidates(p)
+        bare = p.rstrip()
+        lead = len(p) - len(p.lstrip())
+        if not bare:
+            continue
+        ends += [a + lead, a + len(bare)]
+        for c in found:
+            out.append((a + c.at, a + c.at + len(c.gap), a + c.opened if c.opened >= 0 else -1, flags(c, low), token_hash(c.before), token_hash(c.after)))
+        if into is None:
+            continue
+        skip = m.end() if (m := _LIST.match(p)) else 0
+        into["words"].update(_WORD.findall(p, skip) if skip else _WORD.findall(p))
+        into["start"][_next(p, skip)] += 1
+        tail = bare.rstrip(_STRIPPED).rstrip()
+        if tail.endswith(".") and not tail.endswith("..") and len(tail) > skip:
+            i = len(tail) - 1
+            run = max(tail.rfind(" ", skip, i), tail.rfind("\n", skip, i), tail.rfind("\t", skip, i), tail.rfind("\xa0", skip, i), skip - 1) + 1
+            last = _previous(tail, i, run)
             into["dot"][last] += 1
             into["final"][last] += 1
-        for c in candidates(body):
+        for c in found:
             if c.mark == "." and (c.gap or c.closer):
                 into["dot"][c.before] += 1
             if "." in c.before:
                 into["total"][c.before] += 1
+    return ends, out
 
 
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> Counts:
-    """Counts over all documents; tokens below ``COUNT_SHARE`` stay out."""
-    ship(docs.sparkSession)
-    kinds = ("dot", "final", "start", "total")
+def new_counters() -> dict[str, Counter]:
+    return {k: Counter() for k in ("dot", "final", "start", "total", "words")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = {k: Counter() for k in kinds}
 
-        def flush() -> pa.RecordBatch:
-            tokens = sorted(set().union(*into.values()))
-            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([into[k][t] for t in tokens], pa.int64()) for k in kinds)], names=["token", *kinds])
-            for k in kinds:
-                into[k].clear()
-            return out
+def gathered(into: dict[str, Counter]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts by kind) of what ``read`` counted; words become tokens once each."""
+    total = into["total"]
+    for w, n in into["words"].items():
+        for t in word_tokens(w):
+            total[t] += n
+    tokens = list(set().union(*(into[k] for k in _KINDS)))
+    return np.array([token_hash(t) for t in tokens], np.int64), np.array([[into[k][t] for k in _KINDS] for t in tokens], np.int64).reshape(len(tokens), 4)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    count_text(text, into)
-            if len(into["total"]) > 200_000:
-                yield flush()
-        yield flush()
-
-    schema = "token string, " + ", ".join(f"{k} long" for k in kinds)
-    per = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("token").agg(*(F.sum(k).alias(k) for k in kinds))
-    per = cut(per)
-    whole = per.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
-    least = lambda k, n: F.col(k) >= max(n, whole[k] * COUNT_SHARE)
-    rows = per.where(least("dot", COUNT_LEAST) | least("start", COUNT_LEAST) | least("total", 20)).collect()
-    return Counts({r["token"]: (r["dot"], r["final"], r["start"], r["total"]) for r in rows}, whole["dot"] or 1, whole["final"] or 1, whole["start"] or 1, whole["total"] or 1)
-
-
-def training_rows(text: str, n: Counts) -> Iterator[tuple[list[float], int]]:
-    """Features of the sure boundaries and sure non-boundaries of one document."""
-    parts = [text[a:b] for a, b in paragraphs(text)]
-    low = careless(parts)
+
+def training_rows(text: str) -> Iterator[tuple[int, str, str, bool, bool, int]]:
+    """(flags, before, after, own, at_start, kind) of sure boundaries (kind 1), of candidates that are none
+    if their tokens say so (kind 0), and of those that are none in any case (kind -1)."""
+    spans = paragraphs(text)
+    parts = [text[a:b] for a, b in spans]
+    low = careless(text, spans)
     for k, p in enumerate(parts):
         body = p[m.end() :] if (m := _LIST.match(p)) else p
         inner = candidates(body)
@@ -388,43 +459,39 @@ def training_rows(text: str, n: Counts) -> Iterator[tuple[list[float], int]]:
         if k + 1 < len(parts) and not _LIST.match(parts[k + 1]):
             left, right = body.rstrip(), parts[k + 1].lstrip()
             thai = bool(_BLANK_ENDS.match(left[-1:] + " " + right[:1], 1))
-            closed = left.rstrip("".join(_CLOSERS)).rstrip()
+            closed = left.rstrip(_STRIPPED).rstrip()
             m = re.search(r"[.!?…。！？．｡।॥؟۔]+$", closed)
             if m or thai:
                 for gap in (" ", "", " "):
                     if thai and not gap:
                         continue
-                    around, opened = _pairs(left)
+                    _, opened = _pairs(left)
                     was = opened.get(len(left) - 1, -1) if m else -1
-                    c = Candidate(len(left), m.group() if m else " ", _previous(closed, m.start() if m else len(closed)), _next(right, 0), gap, right[0], bool(m) and len(closed) < len(left), was >= 0 and left[:was].rstrip()[-1:] in (":", "："), was, was >= 0 and left[was] in "([（【")
+                    i = m.start() if m else len(closed)
+                    runs = _runs(closed)
+                    run = runs[bisect_right(runs, max(0, i - 1)) - 1] if runs else 0
+                    c = Candidate(len(left), m.group() if m else " ", _previous(closed, i, min(run, i)), _next(right, 0), gap, right[0], bool(m) and len(closed) < len(left), was >= 0 and _before_colon(left, was), was, was >= 0 and left[was] in "([（【")
                     start = max([x.at for x in inner if x.at < len(left)] + [0])
                     while start < len(left) and left[start].isspace():
                         start += 1
-                    yield features(c, start, low, n, True, True), 1
+                    yield flags(c, low), c.before, c.after, True, c.opened <= start, 1
         start = 0
         for c in inner:
-            dots, finals, _, _ = n.of.get(c.before, (0, 0, 0, 0))
-            _, _, starts, seen = n.of.get(c.after, (0, 0, 0, 0))
             ch = c.following
             sure = ch in ",;:)%，；：、" or (not c.gap and c.mark == "." and not c.closer and (ch.islower() or ch.isdigit()))
             sure = sure or (bool(c.gap) and ch.islower() and not low)
-            sure = sure or (c.mark == "." and not c.closer and dots >= SURE_DOTS and finals == 0)
-            sure = sure or (c.mark == "." and c.before == "<num>" and seen >= SURE_DOTS and starts == 0)
-            if sure:
-                yield features(c, start, low, n), 0
-            else:
+            yield flags(c, low), c.before, c.after, False, c.opened <= start, -1 if sure else 0
+            if not sure:
                 start = c.at + len(c.gap)
 
 
-def fit(rows: list[tuple[list[float], int]], ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the maximum-entropy (logistic) model by Newton steps; classes weigh the same."""
-    if not rows or len({y for _, y in rows}) < 2:
+    if len(y) == 0 or y.min() == y.max():
         # Nothing to learn from: marks followed by a blank end a sentence.
-        w = np.zeros(len(features(Candidate(0, ".", "", "", " ", "A"), 0, False, Counts())))
+        w = np.zeros(x.shape[1])
         w[[0, 6, 9]] = 1.0, -4.0, -4.0
         return w
-    x = np.array([f for f, _ in rows])
-    y = np.array([v for _, v in rows], dtype=float)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(25):
@@ -438,63 +505,174 @@ def fit(rows: list[tuple[list[float], int]], ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def fit_rows(rows: list[tuple[int, str, str, bool, bool, int]], n: Counts) -> np.ndarray:
+    """The classifier from training rows and the counts of their tokens."""
+    f, own, at_start, kind = (np.array([r[i] for r in rows], t) for i, t in ((0, np.int64), (3, bool), (4, bool), (5, np.int64)))
+    before, after = (n.look(np.array([token_hash(r[i]) for r in rows], np.int64)) for i in (1, 2))
+    dot, num = (f & _DOT) != 0, (f & _NUM) != 0
+    # A sure abbreviation hardly ever ends a paragraph; no number starts one after a numbered dot.
+    short = dot & ((f & _CLOSED) == 0) & (before[:, 0] >= SURE_DOTS) & (before[:, 1] <= SURE_SHARE * before[:, 0])
+    rank = dot & num & (after[:, 3] >= SURE_DOTS) & (after[:, 2] <= SURE_SHARE * after[:, 3] / 10)
+    kept = (kind != 0) | short | rank
+    y = (kind == 1).astype(float)
+    # A boundary's own paragraph is taken out of the counts.
+    before, after = before.copy(), after.copy()
+    before[own] = np.maximum(0, before[own] - np.array([1, 1, 0, 1]))
+    after[own] = np.maximum(0, after[own] - np.array([0, 0, 1, 1]))
+    return fit(features(f, before, after, at_start, n.totals)[kept], y[kept])
+
+
+def boundaries(spans: list[np.ndarray], found: list[np.ndarray], tokens: list[np.ndarray], n: Counts, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the sentences of texts, from what ``read`` gives of each as arrays."""
+    found = [x.reshape(-1, 4) for x in found]
+    sizes, edges = np.array([len(x) for x in found], np.int64), np.array([len(x) // 2 for x in spans], np.int64)
+    c = np.concatenate(found).astype(np.int64) if len(found) else np.zeros((0, 4), np.int64)
+    k = np.concatenate([x.reshape(-1, 2) for x in tokens]) if len(tokens) else np.zeros((0, 2), np.int64)
+    text = np.repeat(np.arange(len(found)), sizes)
+    para = np.concatenate(spans).reshape(-1, 2).astype(np.int64) if len(spans) else np.zeros((0, 2), np.int64)
+    of = np.repeat(np.arange(len(spans)), edges)
+    before, after = n.look(k[:, 0]), n.look(k[:, 1])
+    score = features(c[:, 3], before, after, np.zeros(len(c), bool), n.totals) @ w
+    accepted = score > 0
+    pair = np.nonzero(c[:, 2] >= 0)[0]
+    if len(pair):
+        # Whether a pair began its sentence depends on the boundary before; all others stand.
+        at_start = features(c[pair, 3], before[pair], after[pair], np.ones(len(pair), bool), n.totals) @ w > 0
+        # Paragraph of each candidate: the last that starts at or before it.
+        width = int(max(para.max(initial=0), c[:, :2].max(initial=0))) + 1
+        home = np.searchsorted(of * width + para[:, 0], text[pair] * width + c[pair, 0], side="right") - 1
+        for i, h, first in zip(pair.tolist(), home.tolist(), at_start.tolist()):
+            j, lead = i - 1, int(para[h, 0])
+            while j >= 0 and text[j] == text[i] and c[j, 0] > lead and not accepted[j]:
+                j -= 1
+            if j >= 0 and text[j] == text[i] and c[j, 0] > lead:
+                lead = int(c[j, 1])
+            if c[i, 2] <= lead:
+                accepted[i] = first
+    cut = np.nonzero(accepted)[0]
+    starts, ends = np.concatenate([para[:, 0], c[cut, 1]]), np.concatenate([c[cut, 0], para[:, 1]])
+    by_start, by_end = np.concatenate([of, text[cut]]), np.concatenate([text[cut], of])
+    order, last = np.lexsort((starts, by_start)), np.lexsort((ends, by_end))
+    a, b, row = starts[order], ends[last], by_start[order]
+    kept = a < b
+    return row[kept], a[kept], b[kept]
+
+
 def split(text: str, n: Counts, w: np.ndarray) -> list[tuple[int, int]]:
     """Sentences of one text as code point offsets, end exclusive, without blanks at either end."""
-    spans = paragraphs(text)
-    low = careless([text[a:b] for a, b in spans])
-    out: list[tuple[int, int]] = []
-
-    def add(a: int, b: int) -> None:
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            out.append((a, b))
-
-    weights = w.tolist()
-    for a, b in spans:
-        p = text[a:b]
-        start = 0
-        for c in candidates(p):
-            while start < len(p) and p[start].isspace():
-                start += 1
-            if sum(x * y for x, y in zip(features(c, start, low, n), weights)) > 0:
-                add(a + start, a + c.at)
-                start = c.at
-        add(a + start, b)
-    return out
+    ends, found = read(text)
+    rows = np.array(found, np.int64).reshape(-1, 6)
+    _, a, b = boundaries([np.array(ends, np.int64)], [rows[:, :4]], [rows[:, 4:]], n, w)
+    return list(zip(a.tolist(), b.tolist()))
+
+
+def _binary(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def read_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document (id, chunk, spans, found, tokens), and rows without an id that hold the counts
+    (found: keys, tokens: counts) and the tokens that a chunk needs (tokens); written once."""
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).withColumn("chunk", (F.monotonically_increasing_id() / CHUNK_DOCUMENTS).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id_", "part", "chunk", "spans", "found", "tokens"]
+        for batch in batches:
+            into = new_counters()
+            spans, found, tokens = [], [], []
+            for text in batch.column(1).to_pylist():
+                ends, rows = read(text, into) if text else ([], [])
+                rows = np.array(rows, np.int64).reshape(-1, 6)
+                spans.append(np.array(ends, np.int32))
+                found.append(rows[:, :4].astype(np.int32))
+                tokens.append(np.ascontiguousarray(rows[:, 4:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(spans), np.int32)), batch.column(2), _binary(spans), _binary(found), _binary(tokens)], names=names)
+            chunk = batch.column(2).to_numpy(zero_copy_only=False)
+            chunks = np.unique(chunk)
+            need = [np.unique(np.concatenate([tokens[i].ravel() for i in np.nonzero(chunk == x)[0]])) for x in chunks]
+            keys, counts = gathered(into)
+            nothing = [np.zeros(0, np.int32)] * len(need)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(need) + 1, batch.schema.field(0).type), pa.array(np.r_[np.full(len(need), 2), 1].astype(np.int32)), pa.array(np.r_[chunks, -1].astype(np.int64)), _binary([*nothing, nothing[0] if nothing else np.zeros(0, np.int32)]), _binary([*nothing, keys]), _binary([*need, counts])],
+                names=names,
+            )
+
+    return written(src.mapInArrow(run, f"id_ {kind}, part int, chunk long, spans binary, found binary, tokens binary"), "sentences")
+
+
+def _numbers(x: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(v, kind) for v in x.to_pylist()]
+
+
+def corpus_counts(parsed: DataFrame) -> DataFrame:
+    """(key, dot, final, start, total) of all tokens of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(_numbers(batch.column(0), np.int64), _numbers(batch.column(1), np.int64)):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in counts.reshape(-1, 4).T)], names=["key", *_KINDS])
 
+    flat = parsed.where("part = 1").select("found", "tokens").mapInArrow(run, "key long, dot long, final long, start long, total long")
+    return flat.groupBy("key").agg(*(F.sum(k).alias(k) for k in _KINDS))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Counts, np.ndarray]:
-    """Counts over all documents and the classifier fitted on a bounded sample of them."""
-    n = corpus_counts(docs, text_col)
+
+def _chunk_tokens(parsed: DataFrame) -> DataFrame:
+    """(of_chunk, key): the tokens next to the candidates of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _numbers(batch.column(1), np.int64)
+            chunk = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["of_chunk", "key"])
+
+    return parsed.where("part = 2").select("chunk", "tokens").mapInArrow(run, "of_chunk long, key long").distinct()
+
+
+def _as_counts(rows: pa.Table, totals: np.ndarray) -> Counts:
+    keys = rows.column("key").to_numpy()
+    order = np.argsort(keys)
+    return Counts(keys[order], np.column_stack([rows.column(k).to_numpy() for k in _KINDS])[order].astype(float).reshape(-1, 4), totals)
+
+
+def train(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(counts of all tokens by kind, weights): the classifier, fitted on a bounded sample of the documents."""
+    spark = docs.sparkSession
+    totals = np.array([float(x or 0) for x in counts.agg(*(F.sum(k) for k in _KINDS)).first()])
     some = docs.where(F.length(text_col) > 0).orderBy(F.xxhash64(id_col), id_col).limit(FIT_DOCUMENTS).select(text_col).toPandas()
-    return n, fit([r for text in some[text_col] for r in training_rows(text, n)])
+    rows = [r for text in some[text_col] for r in training_rows(text)]
+    # The sample bounds the tokens asked for.
+    keys = spark.createDataFrame(pa.table({"key": pa.array(sorted({token_hash(t) for r in rows for t in r[1:3]}), pa.int64())})) if rows else None
+    n = _as_counts(counts.join(keys, "key").toArrow(), totals) if rows else no_counts()
+    return totals, fit_rows(rows, n)
+
+
+def local_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Counts, np.ndarray]:
+    """The whole model in memory, to split single texts with: for small collections."""
+    counts = corpus_counts(read_documents(docs, id_col, text_col))
+    totals, w = train(docs, counts, id_col, text_col)
+    return _as_counts(counts.toArrow(), totals), w
 
 
 def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, start_at INT, end_at INT), one row per sentence of every document.
 
     Null, empty and blank texts and texts of code alone have none; repeated rows of a document
-    are one. Two passes over the text: one for the counts, one for the units; no text is shuffled.
+    come out repeated, null ids stay null. The text is read once and never shuffled.
     """
     spark = docs.sparkSession
-    ship(spark)
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    model = spark.sparkContext.broadcast(train(docs, id_col, text_col))
+    parsed = read_documents(docs, id_col, text_col)
+    counts = written(corpus_counts(parsed), "counts")
+    model = spark.sparkContext.broadcast(train(docs, counts, id_col, text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, w = model.value
-        for batch in batches:
-            rows, starts, ends = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in split(text, n, w) if text else ():
-                    rows.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id_", "start_at", "end_at"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        totals, w = model.value
+        row, a, b = boundaries(*(_numbers(left.column(c), t) for c, t in (("spans", np.int32), ("found", np.int32), ("tokens", np.int64))), _as_counts(right, totals), w)
+        return pa.table({"id_": left.column("id_").combine_chunks().take(pa.array(row)), "start_at": pa.array(a.astype(np.int32)), "end_at": pa.array(b.astype(np.int32))})
 
+    held = _chunk_tokens(parsed).join(counts, "key")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(run, f"id_ {kind}, start_at int, end_at int").withColumnRenamed("id_", id_col)
+    found = parsed.where("part = 0").groupBy("chunk").cogroup(held.groupBy("of_chunk")).applyInArrow(run, f"id_ {kind}, start_at int, end_at int")
+    return found.withColumnRenamed("id_", id_col)

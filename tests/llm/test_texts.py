@@ -75,7 +75,7 @@ def test_sentences_of_prose(spark):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return sentences.train(_corpus(spark)[0])
+    return sentences.local_model(_corpus(spark)[0])
 
 
 def _units(text, model):
