@@ -1,133 +1,119 @@
 """Top N within every group by statistics-guided skipping.
 
-The rows are laid out once as files clustered by group and sorted by score, so every parquet
-row group covers a short run of (group, score) and its footer statistics tell which groups it
-holds and how good its best row is. A query then reads only what can matter: row groups of a
-single group are dropped, before any is read, when better row groups of that group already
-hold N rows; inside a file the rest is read in order of the best score and a row group is
-skipped once it is strictly worse than the current N-th row of every group it holds.
-A huge group is cut over many files by the range partitioning and needs no task of its own.
+The rows are laid out once: range partitioning clusters them by group and cuts a huge group
+over many parts, and inside a part every group's rows are dealt into layers, the best
+``LAYER`` rows of each group first, then twice as many, and so on. A layer of a part is one
+file, and for every group it holds the statistics tell how many rows it has there and how good
+the best and the worst of them are. Layouts are kept: any later query, for any N, uses them.
+
+A query reads no row to decide what to read. A file is skipped if of every group it holds N
+better rows are known: the layers before it in its part hold that many, which settles ties as
+well, or its best score of the group is strictly worse than the group's N-th score can be by
+the statistics of all its layers. Spark prunes the skipped files before it opens them, and
+only the rows of the others are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsift.runtime import partitions_for, shared_path, ship
+from colsift.runtime import shared_path, ship
+
+#: Rows of a group in the first layer of a part; layer k has LAYER * 2 ** k of them.
+LAYER = 16
+_LAYER, _PART = "layer__", "part__"
+
+
+def _layers(df: DataFrame, group: str) -> DataFrame:
+    """``df``, sorted by group within its partitions, with the number of the part and of each row's layer."""
+    at = df.columns.index(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = batch.column(at)
+            new = np.r_[names[0].as_py() != last, np.asarray(pc.not_equal(names.slice(1), names.slice(0, n - 1)))]
+            start = np.nonzero(new)[0]
+            begun = np.zeros(n, np.int64)
+            begun[start] = start
+            begun = np.maximum.accumulate(begun)
+            place = np.arange(n) - begun
+            # Rows of the group that the last batch ended with come first here.
+            place[: start[0] if len(start) else n] += seen
+            last, seen = names[n - 1].as_py(), int(place[-1]) + 1
+            layer = np.floor(np.log2(place // LAYER + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layer), pa.array(np.full(n, part, np.int32))], names=[*batch.schema.names, _LAYER, _PART])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(_LAYER, T.IntegerType()), T.StructField(_PART, T.IntegerType())]))
+
+
+def cluster_by_group(df: DataFrame, group: str, score: str, ties: list[str], path: str) -> None:
+    """Write the layout of ``df`` (columns group, score, ties) below ``path``: rows and statistics."""
+    ship(df.sparkSession)
+    order = [group, score, *ties]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    _layers(placed, group).sortWithinPartitions(_LAYER, _PART, *order).write.partitionBy(_LAYER, _PART).parquet(f"{path}/rows")
+    zones = _rows(df.sparkSession, path, df.schema).groupBy(_LAYER, _PART, group).agg(F.count("*").alias("n"), F.min(score).alias("best"), F.max(score).alias("worst"))
+    zones.write.parquet(f"{path}/zones")
 
-#: Uncompressed bytes of a row group; the unit that statistics describe and skipping saves.
-ROW_GROUP_BYTES = 1 << 20
-_STATS = "path string, row_group int, lo string, hi string, n long, best double, worst double"
 
+def _rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(_LAYER, T.IntegerType()), T.StructField(_PART, T.IntegerType())])).parquet(f"{path}/rows")
 
-def cluster_by_group(df: DataFrame, group: str, score: str, ties: list[str], path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
-    """Write ``df`` as files clustered by group and sorted by (group, score, ties)."""
-    order = [group, score, *ties]
-    (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", max(4096, row_group_bytes // 8))
-        .parquet(path)
-    )
 
+def files_to_read(zones: DataFrame, n: int, group: str) -> DataFrame:
+    """(layer, part, rows): the files that can hold one of the ``n`` best rows of a group.
 
-def _open(path: str):
-    fs, inside = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-    return fs.open_input_file(inside)
-
-
-def row_group_stats(files: DataFrame, group: str, score: str) -> DataFrame:
-    """Footer statistics, one row per row group: groups it spans, rows, best and worst score."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for path in pdf["path"]:
-                with _open(path) as f:
-                    meta = pq.ParquetFile(f).metadata
-                    at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
-                    for k in range(meta.num_row_groups):
-                        rg = meta.row_group(k)
-                        g, s = rg.column(at[group]).statistics, rg.column(at[score]).statistics
-                        known = g is not None and g.has_min_max
-                        out.append((path, k, g.min if known else None, g.max if known else None, rg.num_rows, s.min if s and s.has_min_max else None, s.max if s and s.has_min_max else None))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _STATS.split(", ")])
-
-    return files.mapInPandas(run, _STATS)
-
-
-def top_n_clustered(spark, path: str, n: int, group: str, score: str, ties: list[str], schema: T.StructType, skip: bool = True) -> DataFrame:
-    """The first ``n`` rows of every group in the order (score, ties) from a clustered table."""
-    ship(spark)
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    # By number: lists of paths are small, and would else be merged into one task.
-    width = partitions_for(spark, spark.sparkContext.defaultParallelism)
-    stats = row_group_stats(listed.repartition(width, "path"), group, score)
-    # A group's N-th score is at most the worst one of its best row groups that hold N rows;
-    # N row groups are enough to tell, however many the group has.
-    single = F.col("lo") == F.col("hi")
-    by_worst = Window.partitionBy("lo").orderBy("worst", "best", "path", "row_group")
-    one = stats.where(single)
-    first = one.withColumn("r", F.row_number().over(by_worst)).where(F.col("r") <= n)
+    A group's first zones in the order of their worst score that hold ``n`` rows together bound
+    its n-th score; a group has few zones in a part, and of its parts only ``n`` can matter here.
+    """
+    by_worst = Window.partitionBy(group).orderBy("worst", "best", _PART, _LAYER)
+    first = zones.withColumn("r", F.row_number().over(by_worst)).where(F.col("r") <= n)
     upto = F.sum("n").over(by_worst.rowsBetween(Window.unboundedPreceding, 0))
-    nth = first.withColumn("upto", upto).where(F.col("upto") >= n).groupBy("lo").agg(F.min("worst").alias("nth"))
+    nth = first.withColumn("upto", upto).where(F.col("upto") >= n).groupBy(group).agg(F.min("worst").alias("nth"))
+    # Layers before this one are full.
+    before = LAYER * (F.pow(F.lit(2.0), _LAYER) - 1)
+    needed = F.max((before < n) & (F.col("nth").isNull() | (F.col("best") <= F.col("nth"))))
+    return zones.join(nth, group, "left").groupBy(_LAYER, _PART).agg(F.sum("n").alias("rows"), needed.alias("needed")).where("needed").drop("needed")
+
+
+def top_n_clustered(spark: SparkSession, path: str, n: int, group: str, score: str, ties: list[str], schema: T.StructType, skip: bool = True) -> DataFrame:
+    """The first ``n`` rows of every group in the order (score, ties) from a layout."""
+    rows = _rows(spark, path, schema)
     if skip:
-        one = one.join(nth, "lo", "left").where(F.col("nth").isNull() | (F.col("best") <= F.col("nth")))
-    todo = one.select("path", "row_group", "best").unionByName(stats.where(~single | single.isNull()).select("path", "row_group", "best"))
-    todo = todo.repartition(width, "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group"))).alias("todo"))
-    names, order = [f.name for f in schema.fields], [score, *ties]
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for path, todo_ in zip(pdf["path"], pdf["todo"]):
-                top: pd.DataFrame | None = None
-                nth: dict[str, float] = {}
-                with _open(path) as f:
-                    file = pq.ParquetFile(f)
-                    at = {file.metadata.schema.column(i).name: i for i in range(file.metadata.num_columns)}
-                    for item in todo_:
-                        best, k = item["best"], item["row_group"]
-                        g = file.metadata.row_group(k).column(at[group]).statistics
-                        if skip and g is not None and g.has_min_max and g.min == g.max and best is not None and best > nth.get(g.min, float("inf")):
-                            continue
-                        rows = file.read_row_group(k, columns=names)
-                        rows = rows.filter(pc.is_valid(rows[score]))
-                        part = rows.to_pandas()
-                        part = part if top is None else pd.concat([top, part], ignore_index=True)
-                        top = part.sort_values([group, *order], kind="stable").groupby(group, sort=False).head(n)
-                        full = top.groupby(group, sort=False)[score].agg(["size", "max"])
-                        nth = full.loc[full["size"] >= n, "max"].to_dict()
-                if top is not None and len(top):
-                    yield top[names]
-
-    local = todo.mapInPandas(run, schema)
-    rank = Window.partitionBy(group).orderBy(*order)
-    return local.withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= n).drop("rank_")
-
-
-def top_n_per_group(df: DataFrame, n: int, group: str, score: str, ties: list[str], row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
+        # One row a file, which the driver lists anyway: the join prunes files at run time.
+        zones = spark.read.schema(T.StructType([T.StructField(_LAYER, T.IntegerType()), T.StructField(_PART, T.IntegerType()), schema[group], *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("best", T.DoubleType()), ("worst", T.DoubleType())))])).parquet(f"{path}/zones")
+        rows = rows.join(F.broadcast(files_to_read(zones, n, group).select(_LAYER, _PART)), [_LAYER, _PART], "left_semi")
+    rank = Window.partitionBy(group).orderBy(score, *ties)
+    return rows.select(*schema.names).withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= n).drop("rank_")
+
+
+def top_n_per_group(df: DataFrame, n: int, group: str, score: str, ties: list[str], path: str | None = None) -> DataFrame:
     """The ``n`` rows of every group with the smallest ``score``, ties by ``ties`` ascending.
 
     ``group`` is a string column and ``score`` a double; rows in which one of them or of the
     tie columns is null are no candidates, NaN scores neither. Equal (group, ties) are one
     row and keep their smallest score. Groups of fewer rows come out whole. Other columns
-    are not carried. An empty input gives an empty result.
+    are not carried. An empty input gives an empty result. The layout goes to ``path``, to be
+    kept and asked again by ``top_n_clustered``; without one to the shared folder.
     """
     spark = df.sparkSession
     keys = [group, *ties]
     kept = df.select(*keys, score).where(" and ".join(f"`{c}` is not null" for c in [*keys, score])).where(~F.isnan(score))
     kept = kept.groupBy(*keys).agg(F.min(score).alias(score)).select(group, score, *ties)
-    path = shared_path(spark, "topn")
-    cluster_by_group(kept, group, score, ties, path, row_group_bytes)
+    path = path or shared_path(spark, "topn")
+    cluster_by_group(kept, group, score, ties, path)
     return top_n_clustered(spark, path, n, group, score, ties, kept.schema)
 
 

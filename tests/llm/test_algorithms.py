@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from colsift.llm import neighbours, setjoin, topn
+from colsift.runtime import shared_path
 
 # ---- top N
 
@@ -24,14 +26,20 @@ def _top(rows, n):
     return {(g, *x) for g, xs in groups.items() for x in sorted(xs)[:n]}
 
 
-@pytest.mark.parametrize("row_group_bytes", [1 << 20, 256])
-def test_top_n_against_brute_force(spark, row_group_bytes):
+@pytest.mark.parametrize("layer", [16, 1])
+def test_top_n_against_brute_force(spark, layer, monkeypatch):
+    monkeypatch.setattr(topn, "LAYER", layer)
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.5 else f"g{rng.randint(0, 40)}", rng.choice([0.5, 1.0, rng.random()]), rng.randint(0, 300), rng.randint(0, 3)) for _ in range(4000)]
     rows += rows[:50] + [(None, 1.0, 1, 1), ("g1", None, 1, 1), ("g1", float("nan"), 1, 1), ("g1", 0.1, None, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "g string, d double, a int, b int, rank_ string")
-    got = {(r.g, r.d, r.a, r.b) for r in topn.top_n_per_group(df, 7, "g", "d", ["a", "b"], row_group_bytes).collect()}
+    path = shared_path(spark, "test-topn")
+    got = {(r.g, r.d, r.a, r.b) for r in topn.top_n_per_group(df, 7, "g", "d", ["a", "b"], path).collect()}
     assert got == _top(rows, 7)
+    # The layout that was kept answers other N as well.
+    schema = df.select("g", "d", "a", "b").schema
+    for n in (1, 30, 5000):
+        assert {tuple(r) for r in topn.top_n_clustered(spark, path, n, "g", "d", ["a", "b"], schema).collect()} == _top(rows, n)
 
 
 def test_top_n_of_nothing(spark):
@@ -40,15 +48,21 @@ def test_top_n_of_nothing(spark):
 
 
 def test_skipping_reads_less_and_finds_the_same(spark):
-    from pyspark.sql import functions as F
-
-    from colsift.runtime import shared_path
-
-    df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") % 977).cast("double").alias("d"), F.col("id").alias("a"))
+    """600 groups of 1 to 200 rows with many ties and a hot one of a third of all rows: a third of the rows are read at most."""
+    many = spark.range(60_000).select(F.concat(F.lit("g"), F.floor(F.sqrt(F.col("id") * 6)).cast("string")).alias("g"), (F.xxhash64("id") % 50).cast("double").alias("d"), F.col("id").alias("a"))
+    df = many.unionByName(spark.range(30_000).select(F.lit("hot").alias("g"), (F.col("id") % 977).cast("double").alias("d"), F.col("id").alias("a")))
     path = shared_path(spark, "test-topn")
-    topn.cluster_by_group(df, "g", "d", ["a"], path, 4096)
-    run = lambda skip: {tuple(r) for r in topn.top_n_clustered(spark, path, 5, "g", "d", ["a"], df.schema, skip).collect()}
-    assert run(True) == run(False) and len(run(True)) == 5
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        topn.cluster_by_group(df, "g", "d", ["a"], path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = topn.files_to_read(spark.read.parquet(f"{path}/zones"), 10, "g").agg(F.sum("rows")).first()[0]
+    assert read <= df.count() / 3
+    run = lambda skip: {tuple(r) for r in topn.top_n_clustered(spark, path, 10, "g", "d", ["a"], df.schema, skip).collect()}
+    assert run(True) == run(False) and len(run(True)) > 5000
+    files = [f for f in spark.read.parquet(f"{path}/rows").where("g = 'hot'").select("part__").distinct().collect()]
+    assert len(files) > 1, "a hot group is cut over parts"
 
 
 def test_matches_are_parsed(spark):
