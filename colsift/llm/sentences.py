@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,6 +61,8 @@ _NUMBER = re.compile(r"[\d.,:/%+\-−–]+$")
 _RUN = re.compile(r"\S+")
 _FENCE = re.compile(r"[ \t]{0,3}(```|~~~)")
 _CLOSES = {f: re.compile(rf"(?m)^[ \t]*{f}") for f in ("```", "~~~")}
+#: A mark with what closes after it, the blanks and the next sign: all of a candidate where nothing is quoted.
+_PLAIN = re.compile(f"({_MARKS.pattern}+)[" + re.escape("".join(sorted(_CLOSERS))) + f"]*+(?:{_MARKS.pattern}+)?+" + r"(\s*+)(\S)")
 #: Scripts without blanks between words: their tokens are the first or last characters of a run.
 _NO_BLANKS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 #: Scripts among them in which a blank, not a mark, ends a sentence.
@@ -174,16 +175,20 @@ def _pairs(p: str) -> tuple[list[int], dict[int, int]]:
     return around, {b: a for a, b in matched}
 
 
-def _previous(p: str, i: int, run_start: int) -> str:
-    """The token that ends before position ``i``, in the run of characters that starts at ``run_start``."""
-    if i > 0 and _no_blanks(p[i - 1]):
+def _previous(p: str, i: int) -> str:
+    """The token that ends before position ``i``."""
+    run = p[max(0, i - LONG_TOKEN - 1) : i]
+    if not run or run[-1].isspace():
+        return ""
+    if _no_blanks(run[-1]):
         a = i
         while a > max(0, i - 4) and _no_blanks(p[a - 1]):
             a -= 1
         return p[a:i]
-    if i - run_start > LONG_TOKEN:
+    run = run.rsplit(None, 1)[-1]
+    if len(run) > LONG_TOKEN:
         return "<long>"
-    run = p[run_start:i].lstrip(_OPENERS)
+    run = run.lstrip(_OPENERS)
     if _NUMBER.fullmatch(run):
         return "<num>"
     if len(run) == 1 and run.isupper():
@@ -226,11 +231,6 @@ class Candidate:
     bracket: bool = False  # the closed pair is one of brackets
 
 
-def _runs(p: str) -> list[int]:
-    """Starts of the runs of characters that are no blanks."""
-    return [m.start() for m in _RUN.finditer(p)]
-
-
 def _before_colon(p: str, i: int) -> bool:
     while i > 0 and p[i - 1].isspace():
         i -= 1
@@ -241,22 +241,24 @@ def candidates(p: str) -> list[Candidate]:
     """Possible boundaries inside one paragraph, in order; linear in the paragraph."""
     out: list[Candidate] = []
     end = len(p.rstrip())
-    marks = [m for m in _MARKS.finditer(p)]
     packed = not p.isascii() and _BLANK_ENDS.search(p) is not None
-    if not packed and (not marks or marks[0].start() >= end):
+    skip_to = m.end() if (m := _LIST.match(p)) else 0
+    linked = "://" in p or "www." in p
+    if not packed and not linked and not _QUOTING.search(p):
+        for m in _PLAIN.finditer(p, skip_to):
+            mark, gap, first = m.groups()
+            at, e = m.start(2), m.end(1)
+            out.append(Candidate(at, mark, _previous(p, m.start()), _next(p, m.start(3)), gap, first, at > e))
         return out
-    starts = _runs(p)
+    marks = _MARKS.finditer(p, skip_to)
     around, opened = _pairs(p) if _QUOTING.search(p) else (None, {})
     addresses: deque = deque()
-    if "://" in p or "www." in p:
+    if linked:
         addresses = deque(m.span() for m in _RUN.finditer(p) if "://" in m.group() or m.group().startswith("www."))
     #: For every train of signs: its end and its last closer of a pair that opened before it.
     train_end, closer = -1, -1
-    skip_to = m.end() if (m := _LIST.match(p)) else 0
     for m in marks:
         a, e = m.span()
-        if a < skip_to:
-            continue
         was, at = -1, e
         if around is not None and around[a] >= 0:
             # Inside a pair only its very end can be a boundary, past its closer.
@@ -282,13 +284,12 @@ def candidates(p: str) -> list[Candidate]:
         g = at
         while g < end and p[g].isspace():
             g += 1
-        run = starts[bisect_right(starts, a) - 1]
-        out.append(Candidate(at, m.group(), _previous(p, a, run if run < a else a), _next(p, at), p[at:g], p[g], was >= 0 or at > e, was >= 0 and _before_colon(p, was), was, was >= 0 and p[was] in "([（【"))
+        out.append(Candidate(at, m.group(), _previous(p, a), _next(p, at), p[at:g], p[g], was >= 0 or at > e, was >= 0 and _before_colon(p, was), was, was >= 0 and p[was] in "([（【"))
     if packed:
         for m in _BLANK_ENDS.finditer(p):
             if around is None or around[m.start()] < 0:
                 i = m.start()
-                out.append(Candidate(i, " ", _previous(p, i, starts[bisect_right(starts, i - 1) - 1]), _next(p, m.end()), m.group(), p[m.end()]))
+                out.append(Candidate(i, " ", _previous(p, i), _next(p, m.end()), m.group(), p[m.end()]))
         out.sort(key=lambda c: c.at)
     return out
 
@@ -420,8 +421,7 @@ def read(text: str, into: dict[str, Counter] | None = None) -> tuple[list[int],
         tail = bare.rstrip(_STRIPPED).rstrip()
         if tail.endswith(".") and not tail.endswith("..") and len(tail) > skip:
             i = len(tail) - 1
-            run = max(tail.rfind(" ", skip, i), tail.rfind("\n", skip, i), tail.rfind("\t", skip, i), tail.rfind("\xa0", skip, i), skip - 1) + 1
-            last = _previous(tail, i, run)
+            last = _previous(tail, i)
             into["dot"][last] += 1
             into["final"][last] += 1
         for c in found:
@@ -468,9 +468,7 @@ def training_rows(text: str) -> Iterator[tuple[int, str, str, bool, bool, int]]:
                     _, opened = _pairs(left)
                     was = opened.get(len(left) - 1, -1) if m else -1
                     i = m.start() if m else len(closed)
-                    runs = _runs(closed)
-                    run = runs[bisect_right(runs, max(0, i - 1)) - 1] if runs else 0
-                    c = Candidate(len(left), m.group() if m else " ", _previous(closed, i, min(run, i)), _next(right, 0), gap, right[0], bool(m) and len(closed) < len(left), was >= 0 and _before_colon(left, was), was, was >= 0 and left[was] in "([（【")
+                    c = Candidate(len(left), m.group() if m else " ", _previous(closed, i), _next(right, 0), gap, right[0], bool(m) and len(closed) < len(left), was >= 0 and _before_colon(left, was), was, was >= 0 and left[was] in "([（【")
                     start = max([x.at for x in inner if x.at < len(left)] + [0])
                     while start < len(left) and left[start].isspace():
                         start += 1
