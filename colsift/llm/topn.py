@@ -30,6 +30,8 @@ from colsift.runtime import shared_path, ship
 #: Rows of a group in the first layer of a part; layer k has LAYER * 2 ** k of them.
 LAYER = 16
 _LAYER, _PART = "layer__", "part__"
+#: More than a layout has parts.
+PARTS = 1 << 32
 
 
 def _layers(df: DataFrame, group: str) -> DataFrame:
@@ -92,9 +94,10 @@ def top_n_clustered(spark: SparkSession, path: str, n: int, group: str, score: s
     """The first ``n`` rows of every group in the order (score, ties) from a layout."""
     rows = _rows(spark, path, schema)
     if skip:
-        # One row a file, which the driver lists anyway: the join prunes files at run time.
+        # One row a file, which the driver lists anyway: a filter on the folders prunes them before any is opened.
         zones = spark.read.schema(T.StructType([T.StructField(_LAYER, T.IntegerType()), T.StructField(_PART, T.IntegerType()), schema[group], *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("best", T.DoubleType()), ("worst", T.DoubleType())))])).parquet(f"{path}/zones")
-        rows = rows.join(F.broadcast(files_to_read(zones, n, group).select(_LAYER, _PART)), [_LAYER, _PART], "left_semi")
+        files = [r[_LAYER] * PARTS + r[_PART] for r in files_to_read(zones, n, group).collect()]
+        rows = rows.where((F.col(_LAYER).cast("long") * PARTS + F.col(_PART)).isin(files))
     rank = Window.partitionBy(group).orderBy(score, *ties)
     return rows.select(*schema.names).withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= n).drop("rank_")
 
