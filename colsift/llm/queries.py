@@ -39,6 +39,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.close_pairs(table(spark, sf_dir, "cell_vectors"), k=5, max_distance=0.20)
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours behind ``p4_found`` with distance and rank."""
+    near = neighbours.nearest_vectors(table(spark, sf_dir, "cell_vectors"), k=5, max_distance=0.20, recall=0.999)
+    return near.select("vec_id", "near_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.column_pairs(table(spark, sf_dir, "raw_tables"), threshold=0.6, min_size=8).drop("overlap_size")
 
@@ -79,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p4_nearest, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
 }
 
 _PAIRS = """
@@ -107,6 +113,13 @@ WITH v AS (SELECT DISTINCT vec_id, vec_values::DOUBLE[] AS v FROM cell_vectors
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, LIST_DISTANCE(a.v, b.v) ** 2 AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE LIST_DISTANCE(a.v, b.v) ** 2 <= 0.2),
 r AS (SELECT a, b FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY a ORDER BY d, b) <= 5)
 SELECT DISTINCT LEAST(a, b) AS vec_id_a, GREATEST(a, b) AS vec_id_b FROM r
+""",
+    "p4_nearest": """
+WITH v AS (SELECT DISTINCT vec_id, vec_values::DOUBLE[] AS v FROM cell_vectors
+           WHERE vec_id IS NOT NULL AND LEN(vec_values) = 50 AND LEN(LIST_FILTER(vec_values, lambda x: x IS NULL OR ISNAN(x))) = 0 AND LEN(LIST_FILTER(vec_values, lambda x: x <> 0)) > 0),
+d AS (SELECT a.vec_id, b.vec_id AS near_id, LIST_DISTANCE(a.v, b.v) ** 2 AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE LIST_DISTANCE(a.v, b.v) ** 2 <= 0.2)
+SELECT vec_id, near_id, ROUND(d, 6) AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, near_id) AS INT) AS rank FROM d
+QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, near_id) <= 5
 """,
     "p5_found": _PAIRS.format(more=""),
     "p5_overlaps": _PAIRS.format(more=", CAST(o AS INT) AS overlap_size"),

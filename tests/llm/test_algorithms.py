@@ -101,24 +101,36 @@ def test_close_pairs_are_exact_with_all_cells_probed(spark):
     x[10:40] = x[10]  # a group of copies
     ids = list(range(1000, 1000 + len(x)))
     random.Random(1).shuffle(ids)
-    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.2, 8, cell_vectors=50, probes=100).collect()}
+    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.2, 8, n_cells=4, probes=100).collect()}
     assert got == _pairs(x.astype(float), ids, 3, 0.2)
 
 
 def test_close_pairs_recall_with_few_probes(spark):
     x = _clustered(2000, 16, 2)
     ids = list(range(len(x)))
-    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 5, 0.2, 16, cell_vectors=100, probes=6).collect()}
+    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 5, 0.2, 16, n_cells=20).collect()}
     want = _pairs(x.astype(float), ids, 5, 0.2)
     assert len(got & want) / len(want) >= 0.95 and got <= want
 
 
+@pytest.mark.parametrize("n_cells", [8, 60])
+def test_recall_without_a_radius(spark, n_cells):
+    """Vectors without any structure: as many cells are probed as the recall needs."""
+    x = np.random.default_rng(5).normal(size=(1500, 12)).astype(np.float32)
+    df = _vectors(spark, range(len(x)), x)
+    got = {(r.vec_id, r.near_id) for r in neighbours.nearest_vectors(df, 5, dim=12, n_cells=n_cells).collect()}
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:5]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.94
+
+
 def test_tiles_of_a_large_cell_find_the_same(spark, monkeypatch):
     x = _clustered(600, 8, 3)
     ids = list(range(len(x)))
     monkeypatch.setattr(neighbours, "TILE_HOME", 40)
     monkeypatch.setattr(neighbours, "TILE_PROBE", 70)
-    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.3, 8, cell_vectors=300, probes=9).collect()}
+    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.3, 8, n_cells=7, probes=9).collect()}
     assert got == _pairs(x.astype(float), ids, 3, 0.3)
 
 
@@ -139,7 +151,7 @@ def test_quantisation_bound_holds(seed):
     codes, meta = neighbours.encode_int8(x)
     d = ((x[:, None].astype(float) - x[None]) ** 2).sum(-1)
     radius = float(np.quantile(d, 0.2))
-    i, j = neighbours.tile_survivors(codes, meta, codes, meta, radius, 60)
+    i, j, *_ = neighbours.tile_survivors(codes, meta, codes, meta, radius, 60)
     assert {(a, b) for a, b in zip(*np.nonzero(d <= radius))} <= set(zip(i, j))
 
 
