@@ -101,7 +101,7 @@ def test_close_pairs_are_exact_with_all_cells_probed(spark):
     x[10:40] = x[10]  # a group of copies
     ids = list(range(1000, 1000 + len(x)))
     random.Random(1).shuffle(ids)
-    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.2, 8, n_cells=4, probes=100).collect()}
+    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.2, 8, n_cells=4, margin=float("inf")).collect()}
     assert got == _pairs(x.astype(float), ids, 3, 0.2)
 
 
@@ -130,7 +130,7 @@ def test_tiles_of_a_large_cell_find_the_same(spark, monkeypatch):
     ids = list(range(len(x)))
     monkeypatch.setattr(neighbours, "TILE_HOME", 40)
     monkeypatch.setattr(neighbours, "TILE_PROBE", 70)
-    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.3, 8, n_cells=7, probes=9).collect()}
+    got = {tuple(r) for r in neighbours.close_pairs(_vectors(spark, ids, x), 3, 0.3, 8, n_cells=7, margin=float("inf")).collect()}
     assert got == _pairs(x.astype(float), ids, 3, 0.3)
 
 
