@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsift.functions import segments as S
-from colsift.operators.knn import QUERY_KEY, best_rows, nearest_rows, rank_matches
-from colsift.runtime import cut, ship
+from colsift.functions.distance import envelope
+from colsift.operators.knn import QUERY_KEY, best_rows, matrix, nearest_rows, rank_matches, tiled
+from colsift.runtime import cut, remove, shared_path, ship
 
-#: Synopses are sent to all tasks up to this many blocks; beyond, they are joined.
-BROADCAST_BLOCKS = 50_000
 #: Vectors of one tile of a block.
 TILE_ROWS = 20_000
 
@@ -32,66 +31,135 @@ def summarise(blocks: DataFrame, ends: list[int]) -> DataFrame:
     return blocks.groupBy("block_id").agg(F.count("*").alias("n"), S.synopsis("stats", ends).alias("syn"))
 
 
+def _gains(blocks: DataFrame, ends: list[int], stats: str) -> DataFrame:
+    """(block_id, n, segment, stat, split_at, gain) of the split candidates over ``ends``.
+
+    Rows meet the ranges of their block, and all candidates are one wide aggregate: a block of
+    any size is partial sums.
+    """
+    both = blocks.join(blocks.groupBy("block_id").agg(S.synopsis(stats, ends).alias("__syn")), "block_id")
+    columns, candidates = [], []
+    for i, (_, length) in enumerate(S.bounds(ends)):
+        mu, sd = F.col(stats)[i]["mu"], F.col(stats)[i]["sd"]
+        for stat in ("mu", "sd"):
+            at = (F.col("__syn")[i][f"{stat}_max"] + F.col("__syn")[i][f"{stat}_min"]) / 2
+            left = (mu if stat == "mu" else sd) < at
+            name = f"{stat}{i}"
+            columns.append(F.first(at).alias(f"{name}_at"))
+            for side, of in (("l", left), ("r", ~left)):
+                columns += [F.count_if(of).alias(f"{name}_{side}n"), F.max(F.when(of, mu)).alias(f"{name}_{side}x"), F.min(F.when(of, mu)).alias(f"{name}_{side}m"), F.max(F.when(of, sd)).alias(f"{name}_{side}s")]
+            c = lambda x, name=name: F.col(f"{name}_{x}")
+            spread = lambda high, low, dev, n=length: n * (F.pow(high - low, 2) + F.pow(dev, 2))
+            whole = spread(F.greatest(c("lx"), c("rx")), F.least(c("lm"), c("rm")), F.greatest(c("ls"), c("rs")))
+            gain = whole - (spread(c("lx"), c("lm"), c("ls")) + spread(c("rx"), c("rm"), c("rs"))) / 2
+            candidates.append(F.struct((c("ln") + c("rn")).alias("n"), F.lit(i).alias("segment"), F.lit(stat).alias("stat"), c("at").alias("split_at"), F.when((c("ln") > 0) & (c("rn") > 0), gain).alias("gain")))
+    wide = both.groupBy("block_id").agg(*columns)
+    return wide.select("block_id", F.explode(F.array(*candidates)).alias("x")).select("block_id", "x.*").where("gain is not null")
+
+
+def _with_doubled(gains: DataFrame) -> DataFrame:
+    return gains.withColumn("doubled", F.max("gain").over(Window.partitionBy("block_id")) * 2)
+
+
 def split_gains(blocks: DataFrame, ends: list[int]) -> DataFrame:
     """(block_id, n, segment, stat, split_at, gain, doubled): every split candidate of every block.
 
     The gain is the block's spread in the segment minus the mean spread of the halves on both
     sides of the midrange; the best one of a block counts double against refined segments.
     """
-    flat = blocks.select("block_id", F.posexplode("stats").alias("segment", "s")).select("block_id", "segment", "s.mu", "s.sd")
-    lengths = F.array(*[F.lit(n) for _, n in S.bounds(ends)])
-    by = Window.partitionBy("block_id", "segment")
-    out = None
-    for stat in ("mu", "sd"):
-        at = flat.withColumn("len", lengths[F.col("segment")]).withColumn("split_at", (F.max(stat).over(by) + F.min(stat).over(by)) / 2)
-        at = at.withColumn("left", F.col(stat) < F.col("split_at"))
-        side = at.groupBy("block_id", "segment", "split_at", "len", "left").agg(
-            F.count("*").alias("n"), F.max("mu").alias("mu_max"), F.min("mu").alias("mu_min"), F.max("sd").alias("sd_max")
-        )
-        spread = F.col("len") * (F.pow(F.col("mu_max") - F.col("mu_min"), 2) + F.pow(F.col("sd_max"), 2))
-        both = side.groupBy("block_id", "segment", "split_at", "len").agg(
-            F.sum("n").alias("n"), F.sum(spread).alias("halves"), F.count("*").alias("sides"), F.max("mu_max").alias("mu_max"), F.min("mu_min").alias("mu_min"), F.max("sd_max").alias("sd_max")
-        )
-        whole = F.col("len") * (F.pow(F.col("mu_max") - F.col("mu_min"), 2) + F.pow(F.col("sd_max"), 2))
-        one = both.where("sides = 2").select("block_id", "n", "segment", F.lit(stat).alias("stat"), "split_at", (whole - F.col("halves") / 2).alias("gain"))
-        out = one if out is None else out.unionByName(one)
-    best = Window.partitionBy("block_id")
-    return out.withColumn("doubled", F.max("gain").over(best) * 2)
+    return _with_doubled(_gains(blocks, ends, "stats"))
+
+
+def refined_gains(blocks: DataFrame, ends: list[int]) -> DataFrame:
+    """(block_id, n, segment, stat, split_at, gain, doubled) of candidates over the halved segments that beat twice the best whole one.
+
+    ``blocks`` has the statistics of the halved segments as ``halves``.
+    """
+    best = _gains(blocks, ends, "stats").groupBy("block_id").agg((2 * F.max("gain")).alias("doubled"))
+    return _gains(blocks, S.halve(ends), "halves").join(best, "block_id", "left").where(F.col("doubled").isNull() | (F.col("gain") > F.col("doubled")))
 
 
 def build_blocks(vectors: DataFrame, ends: list[int], capacity: int = 1000) -> DataFrame:
     """``vectors`` with ``stats`` and ``block_id``: blocks split until none exceeds ``capacity``.
 
-    Each level splits every too large block at its best candidate, all blocks in one job, and
-    writes the result once. Blocks of equal statistics can't be split and stay as they are.
-    Halves get the ids after the greatest in use, so the number of levels has no limit.
+    Each level splits every too large block at its best candidate, all blocks in one job: of
+    whole segments, or of a half segment that gains more than twice as much. Blocks of equal
+    statistics can't be split and stay as they are. A half's id is a hash of its block's and
+    its side, so levels have no limit. A level is written once and its predecessor removed.
     """
-    placed = cut(with_stats(vectors, ends).withColumn("block_id", F.lit(1).cast("long")))
-    after = 2
+    spark = vectors.sparkSession
+    placed, path = with_stats(with_stats(vectors, ends), S.halve(ends), out="halves").withColumn("block_id", F.lit(1).cast("long")), None
     while True:
+        at = shared_path(spark, "blocks")
+        placed.write.parquet(at)
+        schema = placed.schema
+        placed = spark.read.schema(schema).parquet(at)
+        if path:
+            remove(spark, path)
+        path = at
         large = placed.groupBy("block_id").count().where(F.col("count") > capacity).select("block_id")
-        best = Window.partitionBy("block_id").orderBy(F.desc("gain"), "segment", "stat")
-        todo = split_gains(placed.join(large, "block_id", "left_semi"), ends).withColumn("r", F.row_number().over(best)).where("r = 1")
-        # One row a too large block; the window numbers them in one task.
-        number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("block_id"))
-        plan = cut(todo.select("block_id", "segment", "stat", "split_at", (F.lit(after) + 2 * (number - 1)).cast("long").alias("half")))
-        if not (n := plan.count()):
-            return placed
-        at = F.element_at("stats", F.col("segment") + 1)
-        right = F.when(F.col("stat") == "mu", at["mu"]).otherwise(at["sd"]) >= F.col("split_at")
-        # One plan row a too large block: the broadcast has fewer rows than vectors / capacity.
-        moved = placed.join(F.broadcast(plan), "block_id", "left")
-        code = F.when(F.col("segment").isNull(), F.col("block_id")).otherwise(F.col("half") + F.when(right, F.lit(1)).otherwise(F.lit(0)))
-        placed = cut(moved.withColumn("block_id", code.cast("long")).drop("segment", "stat", "split_at", "half"))
-        after += 2 * n
+        todo = cut(placed.join(large, "block_id", "left_semi").select("block_id", "stats", "halves"))
+        whole, half = (g.select("block_id", "segment", "stat", "split_at", "gain", F.lit(x).alias("refined")) for g, x in ((_gains(todo, ends, "stats"), False), (refined_gains(todo, ends), True)))
+        best = F.max_by(F.struct("segment", "stat", "split_at", "refined"), F.struct("gain", -F.col("segment"), "stat", "refined"))
+        plan = cut(whole.unionByName(half).groupBy("block_id").agg(best.alias("x")).select("block_id", "x.*"))
+        if plan.isEmpty():
+            return placed.drop("halves")
+        s = F.when(F.col("refined"), F.element_at("halves", F.col("segment") + 1)).otherwise(F.get("stats", F.col("segment")))
+        right = F.when(F.col("stat") == "mu", s["mu"]).otherwise(s["sd"]) >= F.col("split_at")
+        # One plan row a too large block, fewer than vectors / capacity; Spark sends it to all tasks only where it is small.
+        moved = placed.join(plan, "block_id", "left")
+        code = F.when(F.col("segment").isNull(), F.col("block_id")).otherwise(F.xxhash64("block_id", right))
+        placed = moved.withColumn("block_id", code).drop("segment", "stat", "split_at", "refined").select(*schema.names)
+
+
+def _ranges(summaries: DataFrame) -> DataFrame:
+    part = lambda f: F.transform("syn", lambda x: x[f]).alias(f)
+    return summaries.select("block_id", "n", *map(part, ("mu_max", "mu_min", "sd_max", "sd_min")))
+
+
+#: Queries and blocks of one tile of bounds, whose rows are all their pairs.
+TILE_BOUNDS = (512, 4_096)
 
 
 def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int]) -> DataFrame:
-    """(query key, block_id, n, lb, ub): a stated query set against all synopses."""
+    """(query key, block_id, n, lb, ub): a stated query set against all synopses, in tiles."""
+    lengths = [n for _, n in S.bounds(ends)]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mu, sd = matrix(a["mu"]), matrix(a["sd"])
+        mx, mn, sx, sn = (matrix(b[c]) for c in ("mu_max", "mu_min", "sd_max", "sd_min"))
+        low, high = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+        gap = lambda x, lo, hi: np.maximum(0, np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]))
+        for i, n in enumerate(lengths):
+            low += n * (gap(mu[:, i], mn[:, i], mx[:, i]) ** 2 + gap(sd[:, i], sn[:, i], sx[:, i]) ** 2)
+            far = np.maximum(np.abs(mu[:, i, None] - mn[None, :, i]), np.abs(mu[:, i, None] - mx[None, :, i]))
+            high += n * ((sd[:, i, None] + sx[None, :, i]) ** 2 + far**2)
+        i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        return pd.DataFrame({c: a[c].to_numpy()[i] for c in QUERY_KEY} | {c: b[c].to_numpy()[j] for c in ("block_id", "n")} | {"lb": low.ravel(), "ub": high.ravel()})
+
     q = with_stats(queries, ends, "q_v", "q_stats")
-    small = F.broadcast(summaries) if summaries.count() <= BROADCAST_BLOCKS else summaries
-    both = q.join(small)
-    return both.select(*QUERY_KEY, "block_id", "n", S.lower_bound(F.col("q_stats"), F.col("syn"), ends).alias("lb"), S.upper_bound(F.col("q_stats"), F.col("syn"), ends).alias("ub"))
+    asked = q.select(*(F.col(c).cast("int").alias(c) for c in QUERY_KEY), F.transform("q_stats", lambda x: x["mu"]).alias("mu"), F.transform("q_stats", lambda x: x["sd"]).alias("sd"))
+    schema = "q_table_id int, q_set_id int, q_pos int, block_id long, n long, lb double, ub double"
+    return tiled(asked, cut(_ranges(summaries)), run, schema, QUERY_KEY, ["block_id"], TILE_BOUNDS)
+
+
+def dtw_block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int], radius: int) -> DataFrame:
+    """(query key, block_id, lb): least squared DTW distance of each query to each block, in tiles."""
+    spans = S.bounds(ends)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        low, high = matrix(a["low"]), matrix(a["high"])
+        mx, mn = matrix(b["mu_max"]), matrix(b["mu_min"])
+        out = np.zeros((len(a), len(b)))
+        for i, (s, n) in enumerate(spans):
+            top, bottom = high[:, s : s + n].max(1)[:, None], low[:, s : s + n].min(1)[:, None]
+            out += n * np.maximum(0, np.maximum(mn[None, :, i] - top, bottom - mx[None, :, i])) ** 2
+        i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        return pd.DataFrame({c: a[c].to_numpy()[i] for c in QUERY_KEY} | {"block_id": b["block_id"].to_numpy()[j], "lb": out.ravel()})
+
+    env = queries.withColumn("env", envelope(F.col("q_v"), radius))
+    asked = env.select(*(F.col(c).cast("int").alias(c) for c in QUERY_KEY), F.transform("env", lambda x: x["low"]).alias("low"), F.transform("env", lambda x: x["high"]).alias("high"))
+    return tiled(asked, cut(_ranges(summaries)), run, "q_table_id int, q_set_id int, q_pos int, block_id long, lb double", QUERY_KEY, ["block_id"], TILE_BOUNDS)
 
 
 def search_blocks(queries: DataFrame, chosen: DataFrame, placed: DataFrame, k: int, exclude: str) -> DataFrame:

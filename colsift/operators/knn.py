@@ -7,21 +7,17 @@ squared Euclidean; ties are settled by (table_id, set_id, pos).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsift.functions.distance import squared_euclidean
 from colsift.runtime import ship
 
 QUERY_KEY = ["q_table_id", "q_set_id", "q_pos"]
 ORDER = ["d", "table_id", "set_id", "pos"]
-#: Query vectors of one broadcast block: 8 bytes x dim x this many. Larger query sets run in as many blocks.
-BLOCK_QUERIES = 20_000
+#: Queries and vectors of one tile: 8 bytes x dim x as many are held at once.
+TILE_QUERIES, TILE_VECTORS = 2_048, 16_384
 
 
 def as_queries(vectors: DataFrame) -> DataFrame:
@@ -75,54 +71,110 @@ def best_rows(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["q", *ORDER], kind="stable").groupby("q", sort=False).head(k)
 
 
-def _kernel(queries: pd.DataFrame, k: int, exclude: str):
-    """Top-k of each query over the batches of a partition."""
-    q_ids = tuple(queries[c].to_numpy() for c in QUERY_KEY)
-    q = np.stack(queries["q_v"].to_numpy()).astype(np.float64) if len(queries) else np.zeros((0, 0))
+def tiled(queries: DataFrame, vectors: DataFrame, run, schema: str, query_key: list[str] = QUERY_KEY, vector_key: list[str] | None = None, most: tuple[int, int] | None = None) -> DataFrame:
+    """``run(queries, vectors)`` of every tile: a stated query set against all vectors, in blocks.
+
+    Both sides are dealt by hash into blocks of bounded size, and every pair of blocks meets in
+    one task: no side is collected or sent to all tasks, and no task holds more than a tile.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    vector_key = vector_key or ["table_id", "set_id", "pos"]
+    most_queries, most_vectors = most or (TILE_QUERIES, TILE_VECTORS)
+    rows = max(1, -(-queries.count() // most_queries))
+    cols = max(1, -(-vectors.count() // most_vectors), -(-spark.sparkContext.defaultParallelism // rows))
+    block = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", block(query_key, rows).alias("__row"), each(cols).alias("__col"))
+    right = vectors.select("*", block(vector_key, cols).alias("__in_col"), each(rows).alias("__in_row"))
+
+    def checked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = run(a, b) if len(a) and len(b) else None
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame({c: [] for c in names}) if found is None else found[names]
+
+    return left.groupBy("__row", "__col").cogroup(right.groupBy("__in_row", "__in_col")).applyInPandas(checked, schema)
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows in float64."""
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(q) or not batch.num_rows:
-                continue
-            ids = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            found = best_rows(nearest_rows(q, q_ids, x, ids, k, exclude), k)
-            best = found if best is None else best_rows(pd.concat([best, found], ignore_index=True), k)
-        if best is not None and len(best):
-            at = best["q"].to_numpy()
-            out = {c: v[at] for c, v in zip(QUERY_KEY, q_ids)} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")}
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
-    return run
+_PAIR = "q_table_id int, q_set_id int, q_pos int, table_id int, set_id int, pos int, d double"
+
+
+def _ids(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    return df.select(*(F.col(c).cast("int").alias(c) for c in keys), v)
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, exclude: str = "table") -> DataFrame:
     """Exhaustive k nearest neighbours of every query vector.
 
-    The queries are sent to the corpus partitions in blocks of at most ``BLOCK_QUERIES``; each
-    partition answers with its own top k, and only those are exchanged and ranked. A query with
-    fewer than ``k`` candidates after exclusion has fewer rows; without queries there are none.
-    """
-    ship(queries.sparkSession)
-    corpus = corpus.select(F.col("table_id").cast("int"), F.col("set_id").cast("int"), F.col("pos").cast("int"), "v")
-    n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    block = F.abs(F.xxhash64(*QUERY_KEY)) % n_blocks
-    out = None
-    for b in range(n_blocks):
-        part = queries.where(block == b) if n_blocks > 1 else queries
-        local = part.select(*(F.col(c).cast("int").alias(c) for c in QUERY_KEY), "q_v").toPandas()
-        rows = corpus.mapInArrow(_kernel(local, k, exclude), "q_table_id int, q_set_id int, q_pos int, table_id int, set_id int, pos int, d double")
-        out = rows if out is None else out.unionByName(rows)
-    return rank_matches(out, k)
-
-
-def distance_join(queries: DataFrame, corpus: DataFrame, exclude: str = "table", metric=squared_euclidean) -> DataFrame:
-    """All (query, vector) pairs with their distance: a stated query set against all vectors.
-
-    The metric is any column function; use ``knn_join`` for large corpora under L2.
+    Each tile answers with its own top k of every query, and only those are exchanged and
+    ranked. A query with fewer than ``k`` candidates after exclusion has fewer rows; without
+    queries there are none.
     """
-    return corpus.join(F.broadcast(queries), not_own(exclude)).withColumn("d", metric(F.col("q_v"), F.col("v"))).drop("q_v", "v")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        q_ids, ids = tuple(a[c].to_numpy() for c in QUERY_KEY), tuple(b[c].to_numpy() for c in ("table_id", "set_id", "pos"))
+        best = best_rows(nearest_rows(matrix(a["q_v"]), q_ids, matrix(b["v"]), ids, k, exclude), k)
+        at = best["q"].to_numpy().astype(int)
+        return pd.DataFrame({c: v[at] for c, v in zip(QUERY_KEY, q_ids)} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")})
+
+    return rank_matches(tiled(_ids(queries, QUERY_KEY, "q_v"), _ids(corpus, ["table_id", "set_id", "pos"], "v"), run, _PAIR), k)
+
+
+def _own(a: pd.DataFrame, b: pd.DataFrame, exclude: str) -> np.ndarray:
+    """Which pairs of a tile the exclusion policy leaves out."""
+    not_own(exclude)
+    own = np.zeros((len(a), len(b)), bool)
+    if exclude != "none":
+        own = a["q_table_id"].to_numpy()[:, None] == b["table_id"].to_numpy()[None]
+        if exclude == "column":
+            own &= a["q_set_id"].to_numpy()[:, None] == b["set_id"].to_numpy()[None]
+    return own
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows, up to the digits a product loses."""
+    return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
+
+
+def block_distances(queries: DataFrame, placed: DataFrame, exclude: str = "table") -> DataFrame:
+    """(query key, block_id, d): the least distance of every query to every block of vectors."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("block_id")
+        names, start = np.unique(b["block_id"].to_numpy(), return_index=True)
+        q, x = matrix(a["q_v"]), matrix(b["v"])
+        d = _distances(q, x)
+        d[_own(a, b, exclude)] = np.inf
+        out = []
+        for name, s, e in zip(names, start, [*start[1:], len(b)]):
+            at = d[:, s:e].argmin(1) + s
+            kept = np.isfinite(d[np.arange(len(q)), at])
+            rows = a.loc[kept, QUERY_KEY].copy()
+            rows["block_id"], rows["d"] = name, ((q[kept] - x[at[kept]]) ** 2).sum(1)
+            out.append(rows)
+        return pd.concat(out)
+
+    vectors = placed.select("block_id", *(F.col(c).cast("int").alias(c) for c in ("table_id", "set_id", "pos")), "v")
+    found = tiled(_ids(queries, QUERY_KEY, "q_v"), vectors, run, "q_table_id int, q_set_id int, q_pos int, block_id long, d double")
+    return found.groupBy(*QUERY_KEY, "block_id").agg(F.min("d").alias("d"))
+
+
+def cosine_within(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id, near_id, d): pairs of a query (vec_id, q_v) and another vector (near_id, v) within a cosine distance."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        q, x = matrix(a["q_v"]), matrix(b["v"])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = 1 - (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
+        i, j = np.nonzero((d <= threshold) & (a["vec_id"].to_numpy()[:, None] != b["near_id"].to_numpy()[None]))
+        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy()[i], "near_id": b["near_id"].to_numpy()[j], "d": d[i, j]})
+
+    return tiled(queries, vectors, run, "vec_id long, near_id long, d double", ["vec_id"], ["near_id"])
 
 
 def exact_join(queries: DataFrame, corpus: DataFrame, exclude: str = "table") -> DataFrame:
@@ -139,4 +191,16 @@ def slices(matches: DataFrame, ks: list[int]) -> DataFrame:
 
 def within(queries: DataFrame, corpus: DataFrame, threshold: float, exclude: str = "table") -> DataFrame:
     """All pairs within a squared distance."""
-    return distance_join(queries, corpus, exclude).where(F.col("d") <= threshold)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        q, x, own = matrix(a["q_v"]), matrix(b["v"]), _own(a, b, exclude)
+        out = []
+        for s in range(0, len(q), 512):
+            i, j = np.nonzero((_distances(q[s : s + 512], x) <= threshold + 1e-6) & ~own[s : s + 512])
+            d = ((q[s + i] - x[j]) ** 2).sum(1)
+            kept = d <= threshold
+            i, j = s + i[kept], j[kept]
+            out.append(pd.DataFrame({c: a[c].to_numpy()[i] for c in QUERY_KEY} | {c: b[c].to_numpy()[j] for c in ("table_id", "set_id", "pos")} | {"d": d[kept]}))
+        return pd.concat(out)
+
+    return tiled(_ids(queries, QUERY_KEY, "q_v"), _ids(corpus, ["table_id", "set_id", "pos"], "v"), run, _PAIR)

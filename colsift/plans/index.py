@@ -129,14 +129,12 @@ SELECT {_KEY}, ROUND(AVG(SQRT(lb / d)), 6) AS tightness, COUNT(*) AS blocks FROM
 def a14_tightness(spark, sf_dir):
     q, at = uploads(spark, sf_dir), placed(spark, sf_dir)
     bounds = blocks.block_bounds(q, blocks.summarise(at, ENDS), ENDS)
-    least = knn.distance_join(q, at.select("block_id", "table_id", "set_id", "pos", "v")).groupBy(*knn.QUERY_KEY, "block_id").agg(F.min("d").alias("d"))
-    return blocks.tightness(bounds, least)
+    return blocks.tightness(bounds, knn.block_distances(q, at))
 
 
 @query(f"""WITH {LAKE}, {BLOCKS}, {_PLACED_PAIRS} SELECT {_KEY}, block_id, ROUND(MIN(d), 6) AS d FROM pairs GROUP BY {_KEY}, block_id""")
 def l3_block_nearest(spark, sf_dir):
-    at = placed(spark, sf_dir).select("block_id", "table_id", "set_id", "pos", "v")
-    return knn.distance_join(uploads(spark, sf_dir), at).groupBy(*knn.QUERY_KEY, "block_id").agg(F.round(F.min("d"), 6).alias("d"))
+    return _rounded(knn.block_distances(uploads(spark, sf_dir), placed(spark, sf_dir)))
 
 
 _GAIN = " UNION ALL ".join(
@@ -213,8 +211,7 @@ def x3_dtw_nearest(spark, sf_dir):
 def x9_dtw_bounds(spark, sf_dir):
     """DTW lower bounds of all (query, block) pairs."""
     s = blocks.summarise(placed(spark, sf_dir), ENDS)
-    q = uploads(spark, sf_dir).withColumn("env", distance.envelope(F.col("q_v"), 5)).drop("q_v")
-    return q.join(F.broadcast(s)).select(*knn.QUERY_KEY, "block_id", F.round(segments.dtw_lower_bound(F.col("env"), F.col("syn"), ENDS), 6).alias("lb"))
+    return blocks.dtw_block_bounds(uploads(spark, sf_dir), s, ENDS, 5).withColumn("lb", F.round("lb", 6))
 
 
 @query(f"""WITH {LAKE}, {BLOCKS}, {QUERY_STATS}, {_BOUNDS}, q AS (SELECT block_id, {' + '.join(f'{n} * (POW(mx{i} - mn{i}, 2) + POW(sx{i}, 2))' for i, (_, n) in enumerate(segments.bounds(ENDS)))} AS quality FROM syn)

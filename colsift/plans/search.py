@@ -69,10 +69,9 @@ def x1_within_threshold(spark, sf_dir):
 SELECT q.vec_id, c.vec_id AS near_id, 1 - LIST_DOT_PRODUCT(q.v, c.v) / (SQRT(LIST_DOT_PRODUCT(q.v, q.v)) * SQRT(LIST_DOT_PRODUCT(c.v, c.v))) AS d
 FROM lake q JOIN lake c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE d <= 0.1""")
 def x23_cosine_within(spark, sf_dir):
-    everything = lake(spark, sf_dir).select("vec_id", "v")
+    everything = lake(spark, sf_dir)
     q = everything.where("vec_id % 20 = 0").select("vec_id", F.col("v").alias("q_v"))
-    both = everything.select(F.col("vec_id").alias("near_id"), "v").join(q, F.col("vec_id") != F.col("near_id"))
-    return both.withColumn("d", D.cosine_distance(F.col("q_v"), F.col("v"))).where("d <= 0.1").select("vec_id", "near_id", F.round("d", 6).alias("d"))
+    return rounded(knn.cosine_within(q, everything.select(F.col("vec_id").alias("near_id"), "v"), 0.1))
 
 
 @query(f"""WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT table_id, set_id, COUNT(DISTINCT pos) AS overlap, COUNT(DISTINCT q_pos) AS covered

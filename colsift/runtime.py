@@ -52,8 +52,13 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
 def release(spark: SparkSession) -> None:
     """Remove the tables that operators wrote into the shared folder; results that read them must be consumed before."""
     while _WRITTEN:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, _WRITTEN.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that an operator wrote, through Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def test_knn_with_ties_against_brute_force(spark, lake, exclude):
 
 
 def test_knn_in_several_query_blocks(lake, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 50)
+    monkeypatch.setattr(knn, "TILE_QUERIES", 50)
+    monkeypatch.setattr(knn, "TILE_VECTORS", 70)
     assert _keys(knn.knn_join(knn.as_queries(lake), lake, 3)) == _brute(lake.collect(), 3, "table")
 
 
@@ -156,7 +157,8 @@ def test_unknown_words_are_left_out(spark):
 
 @pytest.mark.parametrize("block", [7, 1_000])
 def test_dtw_nearest_over_all_tables(spark, monkeypatch, block):
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(knn, "TILE_QUERIES", block)
+    monkeypatch.setattr(knn, "TILE_VECTORS", block * 4)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(150, 20)).astype(np.float32)
     x[40], x[90] = x[10], x[10]
