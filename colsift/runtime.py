@@ -72,7 +72,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: cuts lineage, keeps columns apart and packed."""
     path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
