@@ -41,7 +41,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbours behind ``p4_found`` with distance and rank."""
-    near = neighbours.nearest_vectors(table(spark, sf_dir, "cell_vectors"), k=5, max_distance=0.20, recall=0.998)
+    near = neighbours.nearest_vectors(table(spark, sf_dir, "cell_vectors"), k=5, max_distance=0.20, recall=0.995)
     return near.select("vec_id", "near_id", F.round("distance", 6).alias("distance"), "rank")
 
 
