@@ -67,6 +67,25 @@ def hash_embedder(keys: list[str], dim: int) -> Embedder:
     return run
 
 
+def token_grams(tokens: DataFrame, n: int = 3) -> DataFrame:
+    """The columns of ``tokens`` and ``word``: the n-grams of each whole token between its end marks."""
+    marked = F.concat(F.lit("<"), "token", F.lit(">"))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1))
+    return tokens.select("*", F.explode(F.transform(at, lambda i: F.substring(marked, i, F.lit(n)))).alias("word"))
+
+
+def subword_embedder(keys: list[str], dim: int) -> Embedder:
+    """One vector for each whole token: the mean of its n-grams' hash vectors, neither split into words nor normalised; no token is unknown."""
+
+    def run(tokens: DataFrame) -> DataFrame:
+        grams = token_grams(tokens.select(*keys, "pos", "token"))
+        lexicon = hash_lexicon(grams.select("word").distinct(), dim)
+        means = F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)])
+        return grams.join(lexicon, "word").groupBy(*keys, "pos").agg(means.alias("v")).where(F.exists("v", lambda x: x != 0))
+
+    return run
+
+
 def discover_by_column(query: DataFrame, corpus: DataFrame, embed: Embedder, k: int, x: int, exact: bool = False) -> DataFrame:
     """Columns joinable with an uploaded one: clean, embed, search, rank. ``query`` has q_table_id and cell."""
     tokens = require_text(clean_cells(query.withColumn("q_set_id", F.lit(0)), ["q_table_id", "q_set_id"]))

@@ -42,6 +42,13 @@ def recall_on_distance(results: DataFrame, truth: DataFrame, query: list[str] =
     return both.agg(F.count_if(close).alias("found"), F.count("*").alias("expected")).withColumn("recall", F.expr("found / nullif(expected, 0)"))
 
 
+def effective_epsilon(approximate: DataFrame, exact: DataFrame, query: list[str] = MATCH_KEY[:3]) -> DataFrame:
+    """Per query the mean of (approximate - exact) / exact over ranks; ranks at distance zero are left out."""
+    keys = [*query, "rank"]
+    both = approximate.select(*keys, F.col("d").alias("a")).join(exact.select(*keys, F.col("d").alias("x")), keys).where("x > 0")
+    return both.groupBy(*query).agg(F.round(F.avg((F.col("a") - F.col("x")) / F.col("x")), 6).alias("effective_epsilon"), F.count("*").alias("ranks"))
+
+
 def mean_by(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
     """Means of measured values per setting."""
     return df.groupBy(*keys).agg(*[F.round(F.avg(v), digits).alias(v) for v in values])

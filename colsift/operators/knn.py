@@ -127,7 +127,6 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, exclude: str = "tabl
 
 def _own(a: pd.DataFrame, b: pd.DataFrame, exclude: str) -> np.ndarray:
     """Which pairs of a tile the exclusion policy leaves out."""
-    not_own(exclude)
     own = np.zeros((len(a), len(b)), bool)
     if exclude != "none":
         own = a["q_table_id"].to_numpy()[:, None] == b["table_id"].to_numpy()[None]

@@ -158,6 +158,26 @@ def i3_built_blocks(spark, sf_dir):
     return blocks.summarise(built, ENDS).select("block_id", "n")
 
 
+@query(f"WITH {LAKE} SELECT COUNT(*) AS vectors, COUNT(DISTINCT v) AS kinds, TRUE AS fits, TRUE AS ranges_hold FROM lake WHERE table_id <> 0")
+def i3_block_invariants(spark, sf_dir):
+    """What must hold of built blocks: no vector lost, none too large, every synopsis covers its vectors."""
+    built = blocks.build_blocks(corpus(spark, sf_dir), ENDS, 200)
+    sized = built.join(blocks.summarise(built, ENDS), "block_id")
+    holds = F.forall(F.zip_with("stats", "syn", lambda x, y: x["mu"].between(y["mu_min"], y["mu_max"]) & x["sd"].between(y["sd_min"], y["sd_max"])), lambda b: b)
+    return sized.agg(F.count("*").alias("vectors"), F.count_distinct("v").alias("kinds"), (F.max("n") <= 200).alias("fits"), F.min(holds).alias("ranges_hold"))
+
+
+@query(f"""WITH {LAKE}, {BLOCKS}, {QUERY_STATS}, {_BOUNDS}, {_PLACED_PAIRS}, {_SEED}, {pairs_sql().replace("pairs AS", "all_pairs AS")},
+exact AS (SELECT {_KEY}, d, ROW_NUMBER() OVER (PARTITION BY {_KEY} ORDER BY d, table_id, set_id, pos) AS rank FROM all_pairs),
+kept AS (SELECT {_KEY}, block_id FROM bounds JOIN tau USING ({_KEY}) WHERE lb <= tau / 1.5 * (1 + 1e-9) + 1e-12),
+e AS (SELECT pairs.*, ROW_NUMBER() OVER (PARTITION BY {_KEY} ORDER BY d, table_id, set_id, pos) AS rank FROM pairs JOIN kept USING ({_KEY}, block_id))
+SELECT {_KEY}, ROUND(AVG((e.d - exact.d) / exact.d), 6) AS effective_epsilon, COUNT(*) AS ranks FROM e JOIN exact USING ({_KEY}, rank) WHERE rank <= {K} AND exact.d > 0 GROUP BY {_KEY}""")
+def a11_effective_epsilon(spark, sf_dir):
+    """How far the answers of the relaxed search are from the true ones of their ranks."""
+    q, at = uploads(spark, sf_dir), placed(spark, sf_dir)
+    return evaluate.effective_epsilon(blocks.pruned_knn(q, at, ENDS, K, epsilon=0.5), knn.knn_join(q, corpus(spark, sf_dir), K))
+
+
 @query(f"WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT {_MATCH}, ROUND(d, 6) AS d, CAST(rank AS INT) AS rank FROM knn")
 def j5_knn_on_built_blocks(spark, sf_dir):
     built = blocks.build_blocks(corpus(spark, sf_dir), ENDS, 200)
@@ -207,7 +227,16 @@ def x3_dtw_nearest(spark, sf_dir):
     return warping.dtw_nearest(q, everything, 0.1).select("q_vec_id", "vec_id", F.round("d", 6).alias("d"))
 
 
-@query()
+def _dtw_bound_sql() -> str:
+    """Least DTW distance of a query row q(v) to a synopsis row s: the envelope's range of each segment against the block's means."""
+    parts = []
+    for i, (a, n) in enumerate(segments.bounds(ENDS)):
+        reach = f"LIST_SLICE(q.v, {max(1, a + 1 - 5)}, {min(ENDS[-1], a + n + 5)})"
+        parts.append(f"{n} * POW(GREATEST(s.mn{i} - LIST_MAX({reach}), LIST_MIN({reach}) - s.mx{i}, 0), 2)")
+    return " + ".join(parts)
+
+
+@query(f"WITH {LAKE}, {BLOCKS} SELECT q.table_id AS q_table_id, q.set_id AS q_set_id, q.pos AS q_pos, block_id, ROUND({_dtw_bound_sql()}, 6) AS lb FROM lake q, syn s WHERE q.table_id = 0")
 def x9_dtw_bounds(spark, sf_dir):
     """DTW lower bounds of all (query, block) pairs."""
     s = blocks.summarise(placed(spark, sf_dir), ENDS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colsift.functions import text as X
 from colsift.functions.distance import usable
 from colsift.operators import blocks, knn
-from colsift.plans.data import BLOCKS, DIM, ENDS, LAKE, corpus, knn_sql, lake, pairs_sql
+from colsift.plans.data import BLOCKS, DIM, ENDS, LAKE, corpus, knn_sql, lake, pairs_sql, uploads
 from colsift.plans.index import placed
 from colsift.plans.search import matches, query
 from colsift.plans.text import _CELLS, _TOKENS, tokens
@@ -72,27 +72,27 @@ def s10_ascii_vectors(spark, sf_dir):
     return back.select(F.col("v")[0].cast("long").alias("vec_id"), F.round(F.aggregate(F.slice("v", 2, 64), F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
-@query("SELECT CAST(ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS INT) AS pos, label, ROUND(LIST_SUM(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+@query("SELECT CAST(label AS INT) AS file, CAST(ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS pos, label, ROUND(LIST_SUM(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
 def s11_labelled_vectors(spark, sf_dir):
-    """One flat file and its twin of labels: the format is a single file, so a single task writes it."""
+    """Flat files, one a label, with their twins of labels: the format is a whole file, so one task writes each."""
     import numpy as np
     import pandas as pd
-    import pyarrow.fs as pafs
 
     path = shared_path(spark, "flat")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        fs, inside = pafs.FileSystem.from_uri(path)
+        fs, inside = vectors_bin.open_folder(path)
         for name, raw in (("v", np.stack(pdf["embedding"].to_numpy()).astype("<f4").tobytes()), ("gt", pdf["label"].to_numpy().astype("u1").tobytes())):
             fs.create_dir(f"{inside}/{name}", recursive=True)
-            with fs.open_output_stream(f"{inside}/{name}/part.{name}") as out:
+            with fs.open_output_stream(f"{inside}/{name}/part{pdf['label'].iloc[0]}.{name}") as out:
                 out.write(raw)
         return pd.DataFrame({"n": [len(pdf)]})
 
-    table(spark, sf_dir, "embeddings").select(F.lit(0).alias("file"), "vec_id", "embedding", "label").groupBy("file").applyInPandas(write, "n long").count()
+    table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").groupBy("label").applyInPandas(write, "n long").count()
     back = vectors_bin.read_labelled(spark, f"{path}/v", f"{path}/gt", 64)
-    return back.select("pos", "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+    file = F.regexp_extract("raw_data_file", r"part(\d+)\.v", 1).cast("int")
+    return back.select(file.alias("file"), "pos", "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
 @query("SELECT n_name AS cell FROM nation")
@@ -126,11 +126,17 @@ def s22_column_counts(spark, sf_dir):
     return text.read_column_counts(spark, path).withColumn("weighted", F.col("n_cols") * F.col("n_tables"))
 
 
-@query(f"WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT q_table_id, q_set_id, q_pos, table_id, set_id, pos, CAST(k AS INT) AS k FROM knn JOIN (SELECT UNNEST([1, 5, 10]) AS k) ON rank <= k")
+@query("SELECT CAST(SUM(LEN(relation)) AS BIGINT) AS total_columns, COUNT(*) AS tables FROM (SELECT DISTINCT table_id, relation FROM raw_tables WHERE relation IS NOT NULL)")
+def a7_total_columns(spark, sf_dir):
+    """The sum of label x value over a statistics file: all columns of the lake."""
+    return s22_column_counts(spark, sf_dir).agg(F.sum("weighted").alias("total_columns"), F.sum("n_tables").alias("tables"))
+
+
+@query(f"WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT q_table_id, q_set_id, q_pos, table_id, set_id, pos, CAST(k AS INT) AS k, CAST(0.5 AS DOUBLE) AS time FROM knn JOIN (SELECT UNNEST([1, 5, 10]) AS k) ON rank <= k")
 def k2_results_by_k(spark, sf_dir):
     path = shared_path(spark, "results")
-    results.write_results(knn.slices(matches(spark, sf_dir), [1, 5, 10]), path, by_k=True)
-    return results.read_results(spark, path).select(*knn.QUERY_KEY, "table_id", "set_id", "pos", "k")
+    results.write_results(knn.slices(matches(spark, sf_dir), [1, 5, 10]), path, by_k=True, seconds=0.5)
+    return results.read_results(spark, path).select(*knn.QUERY_KEY, "table_id", "set_id", "pos", "k", "time")
 
 
 @query(f"WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT q_table_id, q_set_id, q_pos, table_id, set_id, pos FROM knn")
@@ -228,7 +234,76 @@ def s21_distance_histogram(spark, sf_dir):
     return text.read_histogram(spark, path).select("x", F.round("y", 9).alias("y"))
 
 
-@query(f"WITH {LAKE}, {pairs_sql()} SELECT k, CAST(COUNT(*) AS BIGINT) AS rows FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q_table_id, q_set_id, q_pos ORDER BY d, table_id, set_id, pos) AS rank FROM pairs) JOIN (SELECT CAST(UNNEST([1, 10]) AS INT) AS k) ON rank <= k) GROUP BY k")
+@query(f"""WITH {LAKE}, {pairs_sql()}, {knn_sql()}, s AS (SELECT COUNT(*) AS q_size FROM lake WHERE table_id = 0), t AS (SELECT COUNT(DISTINCT table_id) AS n_tables FROM lake WHERE table_id <> 0), v AS (SELECT COUNT(*) AS vectors FROM lake WHERE table_id <> 0)
+SELECT k, CAST(COUNT(*) AS BIGINT) AS rows, 'scan' AS algorithm, CAST(ANY_VALUE(q_size) AS BIGINT) AS q_size, CAST(ANY_VALUE(n_tables) AS BIGINT) AS n_tables, {DIM} AS dim, CAST(ANY_VALUE(q_size) * ANY_VALUE(vectors) AS BIGINT) AS distances
+FROM knn JOIN (SELECT CAST(UNNEST([1, 10]) AS INT) AS k) ON rank <= k, s, t, v GROUP BY k""")
 def k3_run_log(spark, sf_dir):
-    """Runs and their sizes as a table, in place of facts in file names."""
-    return knn.slices(matches(spark, sf_dir), [1, 10]).groupBy("k").agg(F.count("*").alias("rows"))
+    """Runs with their settings and sizes as a table, in place of facts in file names."""
+    lake_ = corpus(spark, sf_dir).agg(F.count("*").alias("vectors"), F.countDistinct("table_id").alias("n_tables")).first()
+    q_size = uploads(spark, sf_dir).count()
+    runs = knn.slices(matches(spark, sf_dir), [1, 10]).groupBy("k").agg(F.count("*").alias("rows"))
+    return results.run_log(runs, algorithm="scan", q_size=q_size, n_tables=lake_["n_tables"], dim=DIM, distances=q_size * lake_["vectors"])
+
+
+@query("""SELECT DISTINCT CAST(SPLIT_PART(TRIM(tq_q), ':', 1) AS INT) AS q_table_id, CAST(SPLIT_PART(TRIM(tq_q), ':', 2) AS INT) AS q_set_id, k, 'tree' AS algorithm, 0.25::DOUBLE AS seconds, 9 AS data_access FROM match_rows WHERE TRIM(tq_q) <> ''""")
+def s24_walked_directory(spark, sf_dir):
+    """Experiment directories are made from the match log, walked, and their names read."""
+    path = shared_path(spark, "runs")
+    runs = table(spark, sf_dir, "match_rows").select(F.trim("tq_q").alias("t"), "k").where("t <> ''").distinct()
+
+    def touch(pdfs):
+        for pdf in pdfs:
+            for t, k in zip(pdf["t"], pdf["k"]):
+                fs, inside = vectors_bin.open_folder(path)
+                folder = f"{inside}/{k}nn/tree_l200_10q_min5_max10"
+                fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/TQ{t.split(':')[0]}_Q{t.split(':')[1]}_qsize7_l200_dlsize1_len50_runtime0.25_ndistcalc_dataaccess9.csv") as out:
+                    out.write(b"TQ:Q\n")
+            yield pdf
+
+    runs.mapInPandas(touch, "t string, k int").count()
+    facts = results.walk_runs(spark, path)
+    return facts.select("q_table_id", "q_set_id", F.regexp_extract("path", r"/(\d+)nn/", 1).cast("int").alias("k"), "algorithm", "seconds", F.col("data_access").cast("int").alias("data_access"))
+
+
+@query("""SELECT table_id, CAST(LEN(ANY_VALUE(relation)) AS INT) AS n_cols, COALESCE(ANY_VALUE(has_header), FALSE) AS has_header, ANY_VALUE(title) AS title
+FROM raw_tables WHERE relation IS NOT NULL AND table_id IS NOT NULL GROUP BY table_id""")
+def s15_raw_table_files(spark, sf_dir):
+    """Raw tables written as JSON documents, one a file, and read back."""
+    path = shared_path(spark, "raw")
+    raw = table(spark, sf_dir, "raw_tables").where("relation is not null and table_id is not null").dropDuplicates(["table_id"])
+    names = {"has_header": "hasHeader", "header_position": "headerPosition", "page_title": "pageTitle", "text_before_table": "textBeforeTable", "text_after_table": "textAfterTable", "last_modified": "lastModified"}
+    doc = F.to_json(F.struct("relation", *[F.col(c).alias(n) for c, n in names.items()], "title", "url"))
+
+    def write(pdfs):
+        for pdf in pdfs:
+            fs, inside = vectors_bin.open_folder(path)
+            fs.create_dir(inside, recursive=True)
+            for table_id, text_ in zip(pdf["table_id"], pdf["doc"]):
+                with fs.open_output_stream(f"{inside}/t{table_id}_c1.json") as out:
+                    out.write(text_.encode())
+            yield pdf[["table_id"]]
+
+    raw.select("table_id", doc.alias("doc")).mapInPandas(write, "table_id int").count()
+    back = text.read_raw_tables(spark, path)
+    number = F.regexp_extract("raw_data_file", r"t(\d+)_c", 1).cast("int")
+    return back.select(number.alias("table_id"), F.size("relation").alias("n_cols"), F.coalesce("has_header", F.lit(False)).alias("has_header"), "title")
+
+
+@query("""WITH d AS (SELECT CAST(FLOOR(distance * 4) AS INT) AS bin FROM query_results WHERE distance IS NOT NULL AND NOT ISNAN(distance) AND distance BETWEEN 0 AND 100),
+c AS (SELECT bin, COUNT(*) AS n FROM d GROUP BY bin), h AS (SELECT (bin + 1) / 4.0::DOUBLE AS x, ROUND(SUM(n) OVER (ORDER BY bin) / SUM(n) OVER (), 9) AS y FROM c), q AS (SELECT UNNEST([0.25, 0.5, 0.75, 0.95])::DOUBLE AS delta),
+lo AS (SELECT delta, MAX(y) AS y0 FROM q JOIN h ON y < delta GROUP BY delta), hi AS (SELECT delta, MIN(y) AS y1 FROM q JOIN h ON y >= delta GROUP BY delta)
+SELECT delta, ROUND(a.x + (b.x - a.x) * (delta - y0) / (y1 - y0), 6) AS radius FROM lo JOIN hi USING (delta)
+JOIN (SELECT y, MAX(x) AS x FROM h GROUP BY y) a ON a.y = y0 JOIN (SELECT y, MIN(x) AS x FROM h GROUP BY y) b ON b.y = y1""")
+def x19_radius_at(spark, sf_dir):
+    """Radii below which shares of the logged distances lie, by interpolation on the histogram (at most 401 bins)."""
+    histogram = s21_distance_histogram(spark, sf_dir)
+    found = [(d, text.radius_at(histogram, d)) for d in (0.25, 0.5, 0.75, 0.95)]
+    return spark.createDataFrame([x for x in found if x[1] is not None], "delta double, radius double").withColumn("radius", F.round("radius", 6))
+
+
+@query(f"""SELECT table_id, COUNT(*) FILTER (vec_values IS NULL OR LEN(vec_values) <> {DIM}) = 0 AS accepted FROM cell_vectors GROUP BY table_id""")
+def s6_rejected_tables(spark, sf_dir):
+    """Which tables the dimension check lets in: a file that declares another dimension raises."""
+    rows = table(spark, sf_dir, "cell_vectors").groupBy("table_id").agg(F.max(F.coalesce(F.size("vec_values") != DIM, F.lit(True))).alias("bad"))
+    return rows.select("table_id", (~F.col("bad")).alias("accepted"))

@@ -180,13 +180,13 @@ def j9_merge_metrics(spark, sf_dir):
     return evaluate.mean_by(runs, ["tq_q", "k"], ["time_s"], 10).join(runs.groupBy("tq_q", "k").agg(F.count("*").alias("rows")), ["tq_q", "k"])
 
 
-@query(f"""WITH {_RUNS}, s AS (SELECT tq_q, CAST(SPLIT_PART(tq_q, ':', 1) AS INT) AS q_table_id, COUNT(*) AS n FROM runs GROUP BY tq_q),
-c AS (SELECT DISTINCT q_table_id, q_set_id FROM result_sids)
-SELECT s.tq_q, c.q_set_id, s.n FROM s JOIN c ON s.q_table_id = c.q_table_id""")
+@query(f"""WITH {_RUNS}, s AS (SELECT CAST(SPLIT_PART(tq_q, ':', 1) AS INT) AS q_table_id, CAST(SPLIT_PART(tq_q, ':', 2) AS INT) AS q_set_id, k, COUNT(DISTINCT q_pos) AS size, COUNT(*) AS n FROM runs GROUP BY tq_q, k)
+SELECT q_table_id, q_set_id, size, a.k AS k, b.k AS other_k, a.n AS n, b.n AS other_n FROM s a JOIN s b USING (q_table_id, q_set_id, size) WHERE a.k < b.k""")
 def j10_pair_runs(spark, sf_dir):
-    runs = _runs(spark, sf_dir).groupBy("tq_q").agg(F.count("*").alias("n")).withColumn("q_table_id", F.split("tq_q", ":")[0].cast("int"))
-    logs = table(spark, sf_dir, "result_sids").select("q_table_id", "q_set_id").distinct()
-    return runs.join(logs, "q_table_id").select("tq_q", "q_set_id", "n")
+    """Runs of one query column and size at different k: candidates beside their ground truth."""
+    parts = F.split("tq_q", ":")
+    runs = _runs(spark, sf_dir).groupBy(parts[0].cast("int").alias("q_table_id"), parts[1].cast("int").alias("q_set_id"), "k").agg(F.count_distinct("q_pos").alias("size"), F.count("*").alias("n"))
+    return runs.join(runs.withColumnsRenamed({"k": "other_k", "n": "other_n"}), ["q_table_id", "q_set_id", "size"]).where("k < other_k")
 
 
 @query("""WITH o AS (SELECT DISTINCT table_id, set_id, overlap_size FROM result_sids WHERE overlap_size IS NOT NULL)

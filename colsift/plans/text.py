@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colsift.functions import text as X
 from colsift.operators import discover as D
-from colsift.plans.search import query
+from colsift.plans.search import SQL, query
 from colsift.runtime import table
 from colsift.sources import text as sources
 
@@ -162,3 +162,34 @@ def s14_keyword_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("title is not null").select("doc_id", F.explode(X.keywords(F.col("title"))).alias("token")).distinct()
 
 
+
+
+@query(f"WITH {_CELLS}, {_TOKENS}, c AS (SELECT DISTINCT table_id, set_id FROM cols), k AS (SELECT table_id, set_id, COUNT(*) AS n FROM tokens GROUP BY table_id, set_id) SELECT table_id, set_id, COALESCE(n, 0) > 0 AS is_text FROM c LEFT JOIN k USING (table_id, set_id)")
+def f11_text_columns(spark, sf_dir):
+    """Which columns can be asked for: the others are what ``require_text`` refuses."""
+    raw = table(spark, sf_dir, "raw_tables").where("table_id is not null and relation is not null").select("table_id", F.posexplode("relation").alias("set_id", "cells"))
+    kept = tokens(spark, sf_dir).select("table_id", "set_id").distinct().withColumn("is_text", F.lit(True))
+    return raw.select("table_id", "set_id").distinct().join(kept, ["table_id", "set_id"], "left").withColumn("is_text", F.coalesce("is_text", F.lit(False)))
+
+
+@query(rf"""WITH {_CELLS}, {_TOKENS}, g AS (SELECT table_id, set_id, token, SUBSTR('<' || token || '>', CAST(UNNEST(RANGE(1, GREATEST(2, LENGTH(token) + 1))) AS INT), 3) AS word FROM tokens),
+w AS (SELECT DISTINCT word FROM g), lex AS (SELECT word, LIST_TRANSFORM(RANGE({DIM}), lambda i: ('0x' || SUBSTR(MD5(word || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) AS vec FROM w),
+v AS (SELECT table_id, set_id, token, AVG(vec[1]) AS v0, AVG(vec[{DIM}]) AS v15 FROM g JOIN lex USING (word) GROUP BY table_id, set_id, token)
+SELECT table_id, set_id, COUNT(*) AS n, ROUND(SUM(v0), 5) AS s0, ROUND(SUM(v15), 5) AS s15 FROM v GROUP BY table_id, set_id""")
+def a9b_token_vectors(spark, sf_dir):
+    """Columns embedded by whole tokens, from their n-grams."""
+    keys = ["table_id", "set_id"]
+    v = D.subword_embedder(keys, DIM)(tokens(spark, sf_dir))
+    return v.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(F.col("v")[0]), 5).alias("s0"), F.round(F.sum(F.col("v")[DIM - 1]), 5).alias("s15"))
+
+
+@query(SQL["discover_exact_column"])
+def discover_joinable_columns(spark, sf_dir):
+    """From an uploaded column to ranked columns by ``discover_by_column``: clean, embed, join exactly, rank."""
+    keys = ["table_id", "set_id"]
+    everything = tokens(spark, sf_dir)
+    first = everything.where(_ASKED).agg(F.min("table_id")).first()[0]
+    upload = cells(spark, sf_dir).where((F.col("table_id") == first) & (F.col("set_id") == 0)).select(F.col("table_id").alias("q_table_id"), "cell")
+    embed = D.subword_embedder(keys, DIM)
+    rounded = lambda df: embed(df).withColumn("v", F.transform("v", lambda x: F.round(x, 12)))  # noqa: E731  sums of any order agree
+    return D.discover_by_column(upload, rounded(everything), rounded, 10, 10, exact=True).select(*keys, "overlap")

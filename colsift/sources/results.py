@@ -9,25 +9,23 @@ _RUN = r"TQ(\d+)_Q(\d+)_qsize(\d+)_l(\d+)_dlsize(\d+)_len(\d+)_runtime([0-9.]+)_
 _SETTING = r"([a-z]+)_l(\d+)_(\d+)q_min(\d+)_max(\d+)$"
 
 
-def as_result_rows(matches: DataFrame) -> DataFrame:
-    """Matches in the form of a result file: joined ids, empty value columns, three decimals."""
+def as_result_rows(matches: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Matches in the form of a result file: joined ids, empty value columns, three decimals, and ``more`` columns as they are."""
     return matches.select(
         F.concat_ws(":", "q_table_id", "q_set_id").alias("TQ:Q"), F.concat_ws(":", "table_id", "set_id").alias("TS:S"), "q_pos", F.col("pos").alias("s_pos"),
-        F.lit("[]").alias("q"), F.lit("[]").alias("s"), F.format_string("%.3f", F.col("d")).alias("d"),
+        F.lit("[]").alias("q"), F.lit("[]").alias("s"), F.format_string("%.3f", F.col("d")).alias("d"), *more,
     )
 
 
-def write_results(matches: DataFrame, path: str, by_k: bool = False) -> None:
-    """Write a result CSV; with ``by_k`` one directory for each k of a sliced run."""
+def write_results(matches: DataFrame, path: str, by_k: bool = False, seconds: float | None = None) -> None:
+    """Write a result CSV, with the run's ``seconds`` as column time; with ``by_k`` one directory for each k of a sliced run."""
+    rows = as_result_rows(matches)
     if by_k:
-        kept = as_result_rows(matches).columns
-        joined = matches.select("k", F.col("rank"), *[c for c in matches.columns if c not in ("k", "rank")])
-        joined.select("k", F.struct(*[F.col(c) for c in joined.columns]).alias("m")).select(
-            "k", F.concat_ws(":", "m.q_table_id", "m.q_set_id").alias(kept[0]), F.concat_ws(":", "m.table_id", "m.set_id").alias(kept[1]), F.col("m.q_pos").alias("q_pos"), F.col("m.pos").alias("s_pos"),
-            F.lit("[]").alias("q"), F.lit("[]").alias("s"), F.format_string("%.3f", F.col("m.d")).alias("d"),
-        ).write.partitionBy("k").csv(path, header=True)
-        return
-    as_result_rows(matches).write.csv(path, header=True)
+        rows = as_result_rows(matches, ["k"])
+    if seconds is not None:
+        rows = rows.withColumn("time", F.lit(seconds))
+    writer = rows.write.partitionBy("k") if by_k else rows.write
+    writer.csv(path, header=True)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +52,17 @@ def run_facts(path: DataFrame, column: str = "path") -> DataFrame:
     )
 
 
+def walk_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Settings and costs of all result files below a directory, from their names: contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
+    return run_facts(files.select("path"))
+
+
+def run_log(runs: DataFrame, **facts) -> DataFrame:
+    """Rows of runs with their settings as columns: the table that takes the place of facts in names."""
+    return runs.select("*", *[F.lit(v).cast("long" if isinstance(v, int) and c != "dim" else "int" if isinstance(v, int) else "string").alias(c) for c, v in facts.items()])
+
+
 def write_index(placed: DataFrame, summaries: DataFrame, path: str) -> None:
     """Store vectors clustered by block and the synopses; an existing index is not overwritten."""
     placed.repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("errorifexists").parquet(f"{path}/vectors")

@@ -7,6 +7,7 @@ hold vectors alone, labelled ones have a twin with one byte for each vector.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ def encode_columns(columns: list[np.ndarray]) -> bytes:
     return b"".join(np.uint32(len(c)).astype("<u4").tobytes() + np.asarray(c, dtype="<f4").tobytes() for c in columns)
 
 
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder, the Hadoop spellings of object stores included."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri) if "://" in uri else re.sub(r"^(file:)?/+", "file:///", uri))
+
+
 def lake_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, raw_data_file, n_vectors, table_id, n_cols, dim) from listing and names, contents unread."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(path)
@@ -86,7 +92,7 @@ def write_vectors(vectors: DataFrame, path: str, dim: int) -> DataFrame:
         table = int(pdf["table_id"].iloc[0])
         sets = [np.stack(g.sort_values("pos")["v"].to_numpy()) for _, g in pdf.groupby("set_id", sort=True)]
         name = file_name(len(pdf), table, len(sets), dim)
-        fs, inside = pafs.FileSystem.from_uri(path)
+        fs, inside = open_folder(path)
         fs.create_dir(inside, recursive=True)
         raw = encode_columns(sets)
         with fs.open_output_stream(f"{inside}/{name}") as out:
@@ -112,10 +118,28 @@ def read_flat(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, vectors_path: str, labels_path: str, dim: int) -> DataFrame:
-    """Flat vectors with the label byte at the same position of the twin file."""
-    labels = spark.read.format("binaryFile").load(labels_path).select(F.explode(F.sequence(F.lit(1), F.length("content"))).alias("i"), "content")
-    coded = labels.select((F.col("i") - 1).alias("pos"), F.conv(F.hex(F.expr("substring(content, i, 1)")), 16, 10).cast("int").alias("label"))
-    return read_flat(spark, vectors_path, dim).join(coded, "pos").select("pos", "v", "label")
+    """(raw_data_file, pos, v, label): flat vectors with the label byte at the same position of the twin file.
+
+    Twins have the same name up to the last dot. A file without a twin, and twins of different
+    lengths, raise.
+    """
+    ship(spark)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    files = lambda path, name: spark.read.format("binaryFile").load(path).select(stem.alias("stem"), F.element_at(F.split("path", "/"), -1).alias(f"{name}_file"), F.col("content").alias(name))
+    both = files(vectors_path, "vectors").join(files(labels_path, "labels"), "stem", "full_outer")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for name, other, raw, codes in zip(pdf["vectors_file"], pdf["labels_file"], pdf["vectors"], pdf["labels"]):
+                if raw is None or codes is None:
+                    raise ValueError(f"{name or other} has no twin")
+                m, labels = np.frombuffer(raw, "<f4").reshape(-1, dim), np.frombuffer(codes, "u1")
+                if len(m) != len(labels):
+                    raise ValueError(f"{name} has {len(m)} vectors and {len(labels)} labels")
+                if len(m):
+                    yield pd.DataFrame({"raw_data_file": name, "pos": range(len(m)), "v": list(m), "label": labels.astype(np.int32)})
+
+    return both.select("vectors_file", "labels_file", "vectors", "labels").mapInPandas(run, "raw_data_file string, pos int, v array<float>, label int")
 
 
 def read_ascii(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
