@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Records a bucket holds on average; the number of buckets follows from the source's size.
 BUCKET_RECORDS = 20_000
+#: Rows of the targets up to which they are sent to all tasks.
+MOST_SENT = 100_000
 
 
 def source_budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -31,11 +33,11 @@ def source_budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | Non
     ).select("source", "t.target_share", "t.max_repeats")
     both = sizes.join(spec, "source", "full_outer")
     usable = F.col("n_tokens").isNotNull() & F.col("target_share").isNotNull() & (F.col("n_tokens") > 0)
-    # The window spans the sources: as many rows as there are sources in the targets and data.
-    whole = Window.partitionBy(F.lit(1))
-    both = both.withColumn("wanted_share", F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(whole)))
-    most = F.min(F.when(usable, F.col("n_tokens") * F.col("max_repeats") / F.col("wanted_share"))).over(whole)
-    total = F.lit(float(total_tokens)) if total_tokens is not None else most
+    # One row for all: the sum of the shares, and the total that the scarcest source allows for.
+    shares, scarcest = both.where(usable).agg(F.sum("target_share"), F.min(F.col("n_tokens") * F.col("max_repeats") / F.col("target_share"))).first()
+    shares = F.lit(float(shares or 1))
+    both = both.withColumn("wanted_share", F.when(usable, F.col("target_share") / shares))
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.lit(float(scarcest or 0)) * shares
     both = both.withColumn("budget", F.floor(F.when(usable, total * F.col("wanted_share")) + F.lit(1e-6)).cast("long"))
     return both.select(
         "source",
@@ -65,17 +67,21 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_records)).cast("int").alias("n_buckets"),
         F.ceil(F.col("budget") / F.col("n_tokens")).cast("int").alias("n_epochs"),
     )
-    # The sources with a positive budget are named in the targets, a configuration table.
-    uses = docs.join(F.broadcast(plan), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
+    # The sources with a positive budget are named in the targets, a configuration table; a long one is left to Spark.
+    plan = F.broadcast(plan) if targets.count() <= MOST_SENT else plan
+    uses = docs.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
     uses = uses.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id"), 1))
     spread = (F.col("key").cast("double") / float(1 << 63)) * F.col("n_buckets")
     uses = uses.withColumn("bucket", F.least(F.floor(spread).cast("int"), F.col("n_buckets") - 1))
     sums = uses.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("source").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start_at"))
+    starts = sums.select("source", "epoch", "bucket", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start_at"))
+    placed = uses.join(starts, ["source", "epoch", "bucket"]).where(F.col("start_at") < F.col("budget"))
+    # Only the bucket in which a budget ends must be put in order.
+    within = F.col("start_at") + F.col("tokens") <= F.col("budget")
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = uses.withColumn("run", F.sum("n_tokens").over(inside)).join(starts, ["source", "epoch", "bucket"])
-    return placed.where(F.col("start_at") + F.col("run") <= F.col("budget")).select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens")
+    last = placed.where(~within).withColumn("run", F.sum("n_tokens").over(inside)).where(F.col("start_at") + F.col("run") <= F.col("budget"))
+    return placed.where(within).unionByName(last.drop("run")).select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
@@ -85,13 +91,13 @@ def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | None = N
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
     )
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("uses"), F.max(F.col("epoch") + 1).alias("most_uses"))
-    whole = Window.partitionBy(F.lit(1))
     out = source_budgets(sizes, targets, total_tokens).join(used, "source", "left")
     out = out.withColumn("used", F.coalesce("used", F.lit(0)))
+    everything = used.agg(F.sum("used")).first()[0] or 0
     return out.select(
         "source", "n_docs", "n_tokens", "target_share", "wanted_share", "max_repeats", "budget",
         F.col("used").alias("used_tokens"),
         F.coalesce("uses", F.lit(0)).alias("uses"),
         F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"),
-        F.when(F.sum("used").over(whole) > 0, F.col("used") / F.sum("used").over(whole)).alias("actual_share"),
+        F.when(F.lit(everything) > 0, F.col("used") / F.lit(float(everything or 1))).alias("actual_share"),
     )

@@ -62,6 +62,11 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.with_skeleton(skeleton.table_cells(table(spark, sf_dir, "raw_tables")), "cell").drop("cell").dropDuplicates(["table_id", "set_id", "pos"])
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals grouped by equal skeleton: how many forms look alike, over all cells."""
+    return skeleton.same_looking(skeleton.table_cells(table(spark, sf_dir, "raw_tables")).select("cell"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -79,13 +84,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgets alone, with characters for sizes, which SQL has as well."""
+    docs = table(spark, sf_dir, "documents").where("source is not null and n_chars > 0").dropDuplicates(["doc_id"])
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_tokens"))
+    found = mixing.source_budgets(sizes, table(spark, sf_dir, "mix_targets"))
+    return found.withColumn("wanted_share", F.round("wanted_share", 9)).withColumn("budget", F.round(F.col("budget") / 100).cast("long"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p4_nearest, p5_found, p5_overlaps, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p4_nearest, p5_found, p5_overlaps, p6_found, p6_forms, p6_groups, p7_ids, p8_mix, p8_shares, p8_budgets, p9_found)
 }
 
 _PAIRS = """
@@ -120,6 +133,14 @@ WITH v AS (SELECT DISTINCT vec_id, vec_values::DOUBLE[] AS v FROM cell_vectors
 d AS (SELECT a.vec_id, b.vec_id AS near_id, LIST_DISTANCE(a.v, b.v) ** 2 AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE LIST_DISTANCE(a.v, b.v) ** 2 <= 0.2)
 SELECT vec_id, near_id, ROUND(d, 6) AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, near_id) AS INT) AS rank FROM d
 QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, near_id) <= 5
+""",
+    "p8_budgets": """
+WITH s AS (SELECT source, COUNT(*) AS n_docs, SUM(n_chars) AS n_tokens FROM documents WHERE source IS NOT NULL AND n_chars > 0 GROUP BY source),
+b AS (SELECT COALESCE(s.source, t.source) AS source, n_docs, n_tokens, target_share, max_repeats, n_tokens IS NOT NULL AND target_share IS NOT NULL AS usable FROM s FULL JOIN mix_targets t ON s.source = t.source),
+w AS (SELECT *, CASE WHEN usable THEN target_share / SUM(target_share) FILTER (usable) OVER () END AS wanted_share FROM b),
+m AS (SELECT *, MIN(n_tokens * max_repeats / wanted_share) FILTER (usable) OVER () AS total FROM w)
+SELECT source, CAST(COALESCE(n_docs, 0) AS BIGINT) AS n_docs, CAST(COALESCE(n_tokens, 0) AS BIGINT) AS n_tokens, target_share, ROUND(wanted_share, 9) AS wanted_share, COALESCE(max_repeats, 0) AS max_repeats,
+CAST(ROUND(COALESCE(FLOOR(CASE WHEN usable THEN total * wanted_share END + 1e-6), 0) / 100) AS BIGINT) AS budget FROM m
 """,
     "p5_found": _PAIRS.format(more=""),
     "p5_overlaps": _PAIRS.format(more=", CAST(o AS INT) AS overlap_size"),

@@ -2,8 +2,10 @@
 
 The skeleton of a text: compatibility-decompose it (width, ligatures, kinds of blanks), drop
 what is not visible, replace every character by the prototype of its look-alikes, decompose
-again, and take off blanks at the ends. Texts of equal skeleton look equal; case, accents
-and other letters stay different.
+again, and take off blanks at the ends. Look-alikes that a decomposition would take apart are
+replaced before it as well. Texts of equal skeleton look equal; case, accents and other
+letters stay different, but for those that many typefaces draw alike: I, l, 1 and |, O and 0,
+m and rn. A skeleton is for comparing, not for reading.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from pyspark.sql import types as T
 
 from colsift.runtime import ship
 
-# Characters of other scripts that are drawn like a Latin letter, a digit or a
-# sign, by prototype, after the public Unicode list of confusable characters.
+# Characters that are drawn like a Latin letter, a digit or a sign, by prototype,
+# after the public Unicode list of confusable characters (its most used scripts).
 LOOK_ALIKES = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ",
-    "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "V": "Ꮩ", "W": "ԜᎳ",
-    "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "аɑ", "b": "Ь", "c": "сϲ", "d": "ԁ", "e": "е", "f": "ƒ", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո",
-    "o": "оοօ", "p": "рρ", "q": "ԛգ", "s": "ѕ", "u": "υսս", "v": "νѵ", "w": "ԝѡ", "x": "х", "y": "уγү", "z": "ᴢ",
-    "'": "’‘ʼʹ′`´＇", '"': "“”″", "-": "‐‑‒–−﹣", ".": "․", ",": "‚", ":": "ː∶", "/": "⁄∕", "~": "˜∼",
+    "A": "ΑАᎪꓮᗅ𐊠", "B": "ΒВᏴꓐᗷ𐊂", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓᗞ", "E": "ΕЕᎬꓰ𐊆", "F": "Ϝꓝ𐊇", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧᕼⲎ", "J": "ЈᎫꓙᒍ",
+    "K": "ΚКᏦꓗⲔ", "L": "Ꮮꓡᒪ", "M": "ΜМᎷꓟᗰⲘ", "N": "ΝꓠⲚ", "O": "0ΟОՕꓳⲞ𐊒𐊫", "P": "ΡРᏢꓑᑭⲢ", "Q": "Ԛ", "R": "ꓣᖇ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔⲦ𐊗", "U": "ꓴᑌ",
+    "V": "Ꮩꓦᐯ", "W": "ԜᎳꓪ", "X": "ΧХꓫ᙭Ⲭ", "Y": "ΥҮꓬⲨ", "Z": "ΖᏃꓜⲌ",
+    "a": "аɑ", "b": "Ь", "c": "сϲᴄⲥ", "d": "ԁ", "e": "е", "f": "ƒ", "g": "ɡց", "h": "һհ", "i": "іιıɩɪ", "j": "јϳ",
+    "l": "I1|ΙІӀӏꓲⲒǀ∣", "rn": "m", "n": "ո",
+    "o": "оοօᴏⲟ०೦൦໐๐", "p": "рρⲣ", "q": "ԛգ", "s": "ѕꜱ", "u": "υսᴜʋ", "v": "νѵᴠ", "w": "ԝѡᴡ", "x": "х", "y": "уγү", "z": "ᴢ",
+    "'": "’‘ʼʹ′`´＇ꞌ", '"': "“”″", "-": "‐‑‒–−﹣", ".": "․", ",": "‚", ":": "ː∶", "/": "⁄∕", "~": "˜∼", "!": "ǃ",
 }
 _TABLE = {ord(x): proto for proto, alike in LOOK_ALIKES.items() for x in alike}
 #: Invisible characters besides those of category Cf: fillers and selectors.
@@ -50,9 +53,8 @@ def skeleton(text: str | None) -> str | None:
     if text is None:
         return None
     if text.isascii():
-        # ASCII has no look-alikes of its own here but the grave accent, drawn as an apostrophe.
         return text.translate(_TABLE).replace("\t", " ").strip(" ")
-    bare = _decompose(text).translate(_TABLE)
+    bare = _decompose(text.translate(_TABLE)).translate(_TABLE)
     # Marks in canonical order again: hidden characters may have kept them apart.
     return unicodedata.normalize("NFD", _decompose(bare)).strip(" ")
 
@@ -96,6 +98,9 @@ def look_alike_cells(raw_tables: DataFrame, ref_items: DataFrame) -> DataFrame:
 
 
 def same_looking(cells: DataFrame) -> DataFrame:
-    """(skeleton, n_forms, n_cells): the groups of originals that share a form, counted, not collected."""
-    forms = with_skeleton(cells, "cell").groupBy("skeleton", "cell").agg(F.count("*").alias("n"))
+    """(skeleton, n_forms, n_cells): the groups of originals that share a form, counted, not collected.
+
+    A group of any size is partial sums; null cells share the null form.
+    """
+    forms = with_skeleton(cells.groupBy("cell").agg(F.count("*").alias("n")), "cell")
     return forms.groupBy("skeleton").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_cells"))

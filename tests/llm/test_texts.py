@@ -12,9 +12,11 @@ from colsift.llm import boilerplate, language, sentences, skeleton
 
 def test_skeleton_of_look_alikes():
     for text in ["Ｄｅｎ Ｌｏ", "Dеn Lо", "D​en Lo", "﻿Den Lo "]:
-        assert skeleton.skeleton(text) == "Den Lo"
+        assert skeleton.skeleton(text) == skeleton.skeleton("Den Lo")
     assert skeleton.skeleton("Tür") == skeleton.skeleton("Tür") == skeleton.skeleton("Tu‍̈r")
     assert skeleton.skeleton("oﬃce") == "office"
+    for a, b in (x.split() for x in ["ϲat cat", "Ϲat Cat", "ıpe ipe", "ɪpe ipe", "ꓮꓳ AO", "ᗅx Ax", "𐊠x Ax", "ᴏne one", "x´s x's", "ꞌx 'x", "ǃx !x", "Іane lane", "lane Iane", "rnore more", "1O l0", "″x ”x"]):
+        assert skeleton.skeleton(a) == skeleton.skeleton(b), (a, b)
     assert skeleton.skeleton(None) is None and skeleton.skeleton(" 　") == ""
 
 
