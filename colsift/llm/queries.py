@@ -53,6 +53,11 @@ def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.column_pairs(table(spark, sf_dir, "raw_tables"), threshold=0.6, min_size=8)
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join without expanding copies: each column with its class and number of links."""
+    return setjoin.column_classes(table(spark, sf_dir, "raw_tables"), threshold=0.6, min_size=8)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = skeleton.look_alike_cells(table(spark, sf_dir, "raw_tables"), table(spark, sf_dir, "ref_items"))
     return found.select("table_id", "set_id", "pos", "item_id")
@@ -98,7 +103,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p4_nearest, p5_found, p5_overlaps, p6_found, p6_forms, p6_groups, p7_ids, p8_mix, p8_shares, p8_budgets, p9_found)
+    for f in (p1_found, p1_deciders, p2_found, p3_found, p3_parts, p4_found, p4_nearest, p5_found, p5_overlaps, p5_classes, p6_found, p6_forms, p6_groups, p7_ids, p8_mix, p8_shares, p8_budgets, p9_found)
 }
 
 _PAIRS = """
@@ -111,6 +116,11 @@ p AS (SELECT a.table_id AS ta, a.set_id AS sa, b.table_id AS tb, b.set_id AS sb,
       FROM y a JOIN y b ON a.cell = b.cell AND (a.table_id, a.set_id) < (b.table_id, b.set_id) GROUP BY ALL)
 SELECT ta AS table_id_a, CAST(sa AS INT) AS set_id_a, tb AS table_id_b, CAST(sb AS INT) AS set_id_b{more} FROM p WHERE o >= 0.6 * (na + nb - o)
 """
+_CLASSES = _PAIRS.split("SELECT ta AS")[0] + """, l AS (SELECT table_id, set_id, LIST_SORT(LIST(cell)) AS cells FROM y GROUP BY table_id, set_id),
+r AS (SELECT table_id, set_id, MIN(ROW(table_id, set_id)) OVER (PARTITION BY cells) AS rep, COUNT(*) OVER (PARTITION BY cells) AS copies FROM l),
+k AS (SELECT t, s, COUNT(*) AS links FROM (SELECT ta AS t, sa AS s FROM p WHERE o >= 0.6 * (na + nb - o) UNION ALL SELECT tb, sb FROM p WHERE o >= 0.6 * (na + nb - o)) GROUP BY t, s)
+SELECT table_id, CAST(set_id AS INT) AS set_id, rep[1] AS class_table_id, CAST(rep[2] AS INT) AS class_set_id, copies, COALESCE(links, 0) AS links FROM r LEFT JOIN k ON t = table_id AND s = set_id
+"""
 
 SQL: dict[str, str] = {
     "p2_found": """
@@ -142,6 +152,7 @@ m AS (SELECT *, MIN(n_tokens * max_repeats / wanted_share) FILTER (usable) OVER
 SELECT source, CAST(COALESCE(n_docs, 0) AS BIGINT) AS n_docs, CAST(COALESCE(n_tokens, 0) AS BIGINT) AS n_tokens, target_share, ROUND(wanted_share, 9) AS wanted_share, COALESCE(max_repeats, 0) AS max_repeats,
 CAST(ROUND(COALESCE(FLOOR(CASE WHEN usable THEN total * wanted_share END + 1e-6), 0) / 100) AS BIGINT) AS budget FROM m
 """,
+    "p5_classes": _CLASSES,
     "p5_found": _PAIRS.format(more=""),
     "p5_overlaps": _PAIRS.format(more=", CAST(o AS INT) AS overlap_size"),
 }

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsift.runtime import cut, partitions_for, ship
+from colsift.runtime import ship, written
 
 #: Tokens of an enumerated subset, and the largest set that enumerates subsets.
 SUBSET = 2
@@ -63,17 +63,19 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int = 1) -> tuple[
     ``sets`` has id LONG and tokens ARRAY<LONG> (64-bit hashes of the values). Null ids, null
     tokens and sets smaller than ``min_size`` take no part; repeated tokens count once. Equal
     sets share the smallest id as ``rep``; pairs have rep_a < rep_b. Two values whose hashes
-    collide inside one pair would count as one: 2**-64 for each two values of the pair.
+    collide inside one pair would count as one: 2**-64 for each two values of the pair; sets
+    are told apart by 128 bits.
     """
     spark = sets.sparkSession
     ship(spark)
     clean = sets.where("id is not null and tokens is not null").select("id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
-    # One exchange by the set itself serves repeats, classes and members; the result is written once.
-    placed = clean.where(F.size("tokens") >= min_size).repartition(partitions_for(spark), "tokens").select("tokens", "id").distinct()
-    grouped = placed.groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    joined = placed.join(grouped, "tokens").select("id", "rep", "copies", F.size("tokens").alias("n"), F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
-    members = cut(joined)
-    classes = members.where("tokens is not null")
+    # Sets are told by two hashes of their tokens, so copies of one set are partial sums and never one task's rows.
+    sized = clean.where(F.size("tokens") >= min_size).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.reverse("tokens"), F.lit(1))})
+    placed = sized.select("id", "k1", "k2", F.size("tokens").alias("n")).distinct()
+    grouped = placed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = written(placed.join(grouped, ["k1", "k2"]).select("id", "rep", "copies", "n"), "members")
+    alone = grouped.select(F.col("rep").alias("id"), "k1", "k2")
+    classes = written(sized.join(alone, ["id", "k1", "k2"]).groupBy("id", "k1", "k2").agg(F.first("tokens").alias("tokens")).select(F.col("id").alias("rep"), "tokens"), "classes")
     # The frequent tokens are few by FREQUENT_SHARE, so they may go to the driver and to all tasks.
     n_sets = classes.count()
     floor = max(FREQUENT_LEAST, math.ceil(FREQUENT_SHARE * n_sets))
@@ -105,7 +107,7 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int = 1) -> tuple[
     both = both.withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
     union = F.size("ta") + F.size("tb") - F.col("overlap")
     pairs = both.where(F.col("overlap") >= union * threshold - 1e-9).select("rep_a", "rep_b", "overlap")
-    return pairs, members.drop("tokens")
+    return pairs, members
 
 
 def column_sets(raw_tables: DataFrame) -> DataFrame:
@@ -120,6 +122,26 @@ def column_id(table_id: str, set_id: str):
     return F.col(table_id).cast("long") * F.lit(1 << 20) + F.col(set_id).cast("long")
 
 
+def id_parts(c: str):
+    """Table and set number of an id, negative table numbers included."""
+    return F.shiftright(c, 20).cast("int"), F.pmod(F.col(c), F.lit(1 << 20)).cast("int")
+
+
+def column_classes(raw_tables: DataFrame, threshold: float = 0.6, min_size: int = 8) -> DataFrame:
+    """(table_id, set_id, class_table_id, class_set_id, copies, links): every column of ``min_size`` values or more
+    with its class of equal columns, their number, and the number of other columns it is similar to.
+
+    The whole join at the size of its input: copies are counted, not paired.
+    """
+    pairs, members = similar_sets(column_sets(raw_tables), threshold, min_size)
+    sizes = members.where("id = rep").select("rep", "copies")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")), F.struct(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))).alias("x")).select("x.*")
+    linked = both.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
+    out = members.join(linked, "rep", "left")
+    (t, s), (ct, cs) = id_parts("id"), id_parts("rep")
+    return out.select(t.alias("table_id"), s.alias("set_id"), ct.alias("class_table_id"), cs.alias("class_set_id"), "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+
 def column_pairs(raw_tables: DataFrame, threshold: float = 0.6, min_size: int = 8) -> DataFrame:
     """(table_id_a, set_id_a, table_id_b, set_id_b, overlap_size) of all similar column pairs.
 
@@ -134,6 +156,5 @@ def column_pairs(raw_tables: DataFrame, threshold: float = 0.6, min_size: int =
     left = copied.select(F.col("id").alias("id_a"), "rep", F.col("n").alias("overlap"))
     within = left.join(copied.select(F.col("id").alias("id_b"), "rep"), "rep").where("id_a < id_b").select("id_a", "id_b", "overlap")
     both = between.unionByName(within).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "overlap")
-    part = lambda c: (F.shiftright(c, 20).cast("int"), (F.col(c) % (1 << 20)).cast("int"))
-    (ta, sa), (tb, sb) = part("a"), part("b")
+    (ta, sa), (tb, sb) = id_parts("a"), id_parts("b")
     return both.select(ta.alias("table_id_a"), sa.alias("set_id_a"), tb.alias("table_id_b"), sb.alias("set_id_b"), F.col("overlap").cast("int").alias("overlap_size"))
