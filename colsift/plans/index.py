@@ -200,6 +200,14 @@ def t9_progress_log(spark, sf_dir):
     return evaluate.changed_snapshots(log, [*knn.QUERY_KEY, "rank"], "step", "d").select(*knn.QUERY_KEY, "rank", "step", F.round("d", 6).alias("d"), "confirmed", "checked_blocks")
 
 
+@query(f"WITH {LAKE}, {pairs_sql()}, {knn_sql()} SELECT {_KEY}, CAST(rank AS INT) AS rank, ROUND(d, 6) AS d, TRUE AS confirmed FROM knn")
+def t9_last_snapshots(spark, sf_dir):
+    """Where the progress of every rank ends: confirmed, at its true distance."""
+    log = progressive.progress_log(uploads(spark, sf_dir), placed(spark, sf_dir), ENDS, K)
+    last = log.groupBy(*knn.QUERY_KEY, "rank").agg(F.max_by(F.struct("d", "confirmed"), "step").alias("x"))
+    return last.select(*knn.QUERY_KEY, "rank", F.round("x.d", 6).alias("d"), "x.confirmed")
+
+
 @query(f"WITH {LAKE} SELECT vec_id, ROUND(LIST_MAX(LIST_SLICE(v, 1, 6)), 6) AS high, ROUND(LIST_MIN(LIST_SLICE(v, 1, 6)), 6) AS low, ROUND(LIST_MAX(LIST_SLICE(v, 20, 30)), 6) AS high_mid FROM lake")
 def x10_envelope(spark, sf_dir):
     from colsift.plans.data import lake
