@@ -32,6 +32,7 @@ LOOK_ALIKES = {
     "'": "’‘ʼʹ′`´＇ꞌ", '"': "“”″", "-": "‐‑‒–−﹣", ".": "․", ",": "‚", ":": "ː∶", "/": "⁄∕", "~": "˜∼", "!": "ǃ",
 }
 _TABLE = {ord(x): proto for proto, alike in LOOK_ALIKES.items() for x in alike}
+_ASCII = [(chr(x), proto) for x, proto in _TABLE.items() if x < 128]
 #: Invisible characters besides those of category Cf: fillers and selectors.
 _HIDDEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
 #: Letters that compatibility decomposition would take apart visibly are none here; signs such as ½ are kept as they stand.
@@ -53,7 +54,10 @@ def skeleton(text: str | None) -> str | None:
     if text is None:
         return None
     if text.isascii():
-        return text.translate(_TABLE).replace("\t", " ").strip(" ")
+        for x, proto in _ASCII:
+            if x in text:
+                text = text.replace(x, proto)
+        return text.replace("\t", " ").strip(" ")
     bare = _decompose(text.translate(_TABLE)).translate(_TABLE)
     # Marks in canonical order again: hidden characters may have kept them apart.
     return unicodedata.normalize("NFD", _decompose(bare)).strip(" ")
