@@ -185,27 +185,16 @@ def streaming_ingest(spark, sf_dir):
     return ingest.summaries(spark, f"{path}/lake", ENDS).select("block_id", "n", F.round(F.col("syn")[0]["mu_max"], 6).alias("mx0"), F.round(F.col("syn")[0]["mu_min"], 6).alias("mn0"))
 
 
-
-
-def _snapshot(spark, clean):
-    """Cleaned columns as JSON documents, one line a table, read back."""
+@query(f"WITH {_CELLS}, {_TOKENS} SELECT table_id, CAST(DENSE_RANK() OVER (PARTITION BY table_id ORDER BY set_id) - 1 AS INT) AS col, COUNT(*) OVER (PARTITION BY table_id, set_id) AS size, token FROM tokens")
+def k5_whole_snapshot(spark, sf_dir):
+    """Cleaned tables as JSON documents {id, ncols, cols}, one line each, read back; columns without text are left out."""
     path = shared_path(spark, "clean")
-    cols = clean.groupBy("table_id", "set_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    cols = tokens(spark, sf_dir).groupBy("table_id", "set_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     docs = cols.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("set_id", "tokens"))).alias("cols"), F.count("*").alias("ncols"))
-    docs.select(F.col("table_id").alias("id"), "ncols", "cols").write.json(path)
-    back = spark.read.schema("id int, ncols long, cols array<struct<set_id:int,tokens:array<string>>>").json(path)
-    return back.select(F.col("id").alias("table_id"), F.explode("cols").alias("c")).select("table_id", "c.set_id", F.explode("c.tokens").alias("token"))
-
-
-@query(f"WITH {_CELLS}, {_TOKENS} SELECT table_id, set_id, token FROM tokens WHERE table_id % 20 = 0")
-def k5_clean_snapshot(spark, sf_dir):
-    """The snapshot of every twentieth table, as its SQL has it; ``k5_whole_snapshot`` has all."""
-    return _snapshot(spark, tokens(spark, sf_dir).where("table_id % 20 = 0"))
-
-
-@query(f"WITH {_CELLS}, {_TOKENS} SELECT table_id, set_id, token FROM tokens")
-def k5_whole_snapshot(spark, sf_dir):
-    return _snapshot(spark, tokens(spark, sf_dir))
+    docs.select(F.col("table_id").alias("id"), "ncols", F.transform("cols", lambda c: c["tokens"]).alias("cols")).write.json(path)
+    back = spark.read.schema("id int, ncols long, cols array<array<string>>").json(path)
+    flat = back.select(F.col("id").alias("table_id"), F.posexplode("cols").alias("col", "tokens"))
+    return flat.select("table_id", "col", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
 
 
 @query("SELECT k, n FROM (SELECT k, COUNT(*) AS n FROM match_rows GROUP BY k) CROSS JOIN (SELECT UNNEST([1, 2]))")

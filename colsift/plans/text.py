@@ -42,13 +42,7 @@ def u1_distinct_tokens(spark, sf_dir):
     return tokens(spark, sf_dir).groupBy("table_id", "set_id").agg(F.count("*").alias("tokens"), F.sum(F.length("token")).alias("letters"))
 
 
-@query(f"WITH {_CELLS} SELECT DISTINCT cell, LOWER(cell) AS lowered FROM cell WHERE cell IS NOT NULL AND REGEXP_MATCHES(cell, '^[ -~]+$')")
-def x16_lowered(spark, sf_dir):
-    """The cells whose small letters the SQL gives alike; ``x16_all_lowered`` has all."""
-    return x16_all_lowered(spark, sf_dir).where("cell rlike '^[ -~]+$'")
-
-
-@query()
+@query(f"WITH {_CELLS} SELECT DISTINCT cell, LOWER(cell) AS lowered FROM cell WHERE cell IS NOT NULL")
 def x16_all_lowered(spark, sf_dir):
     return cells(spark, sf_dir).where("cell is not null").select("cell", F.lower("cell").alias("lowered")).distinct()
 
@@ -91,13 +85,7 @@ _WORDS = rf"""words AS (SELECT DISTINCT word FROM (SELECT UNNEST(STRING_SPLIT(to
 lex AS (SELECT word, LIST_TRANSFORM(RANGE({DIM}), lambda i: ('0x' || SUBSTR(MD5(word || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) AS vec FROM words)"""
 
 
-@query(f"WITH {_CELLS}, {_TOKENS}, {_WORDS} SELECT word, ROUND(vec[1], 6) AS first, ROUND(LIST_SUM(vec), 6) AS total FROM lex WHERE REGEXP_MATCHES(word, '^[a-z]+$')")
-def j11_hash_lexicon(spark, sf_dir):
-    """The words of small Latin letters, as the SQL has them; ``j11_whole_lexicon`` has all."""
-    return j11_whole_lexicon(spark, sf_dir).where("word rlike '^[a-z]+$'")
-
-
-@query()
+@query(f"WITH {_CELLS}, {_TOKENS}, {_WORDS} SELECT word, ROUND(vec[1], 6) AS first, ROUND(LIST_SUM(vec), 6) AS total FROM lex")
 def j11_whole_lexicon(spark, sf_dir):
     words = tokens(spark, sf_dir).select(F.explode(F.split("token", " ")).alias("word")).where("word <> ''").distinct()
     lex = D.hash_lexicon(words, DIM)
@@ -109,12 +97,6 @@ parts AS (SELECT table_id, set_id, token, UNNEST(STRING_SPLIT(token, ' ')) AS wo
 cv AS (SELECT table_id, set_id, token, {", ".join(f"AVG(u[{i + 1}]) AS v{i}" for i in range(DIM))} FROM parts JOIN unit USING (word) GROUP BY table_id, set_id, token)"""
 
 
-@query(f"WITH {_CELLS}, {_TOKENS}, {_WORDS}, {_EMBED} SELECT table_id, set_id, COUNT(*) AS n, ROUND(SUM(v0), 5) AS s0, ROUND(SUM(v{DIM - 1}), 5) AS s{DIM - 1} FROM cv WHERE table_id % 20 = 0 GROUP BY table_id, set_id")
-def a9_cell_vectors(spark, sf_dir):
-    """The vectors of every twentieth table, as the SQL has them; ``a9_all_cell_vectors`` has all."""
-    return a9_all_cell_vectors(spark, sf_dir).where("table_id % 20 = 0")
-
-
 @query(f"WITH {_CELLS}, {_TOKENS}, {_WORDS}, {_EMBED} SELECT table_id, set_id, COUNT(*) AS n, ROUND(SUM(v0), 5) AS s0, ROUND(SUM(v{DIM - 1}), 5) AS s{DIM - 1} FROM cv GROUP BY table_id, set_id")
 def a9_all_cell_vectors(spark, sf_dir):
     keys = ["table_id", "set_id"]

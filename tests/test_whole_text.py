@@ -30,7 +30,7 @@ def test_all_words_and_cells(spark, tables):
 
 def test_all_tables(spark, tables):
     tokens = [{c.lower() for c in CELLS}, {c.lower() + " q" for c in CELLS}]
-    got = {(r.table_id, r.set_id, r.token) for r in io.k5_whole_snapshot(spark, tables).collect()}
+    got = {(r.table_id, r.col, r.token) for r in io.k5_whole_snapshot(spark, tables).collect()}
     assert got == {(t, s, c) for t in (3, 20, 41) for s in (0, 1) for c in tokens[s]}
     got = {(r.table_id, r.set_id): (r.n, r.s0) for r in text.a9_all_cell_vectors(spark, tables).collect()}
     unit = lambda w: _vector(w)[0] / sum(x * x for x in _vector(w)) ** 0.5
