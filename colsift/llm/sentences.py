@@ -237,19 +237,24 @@ def _before_colon(p: str, i: int) -> bool:
     return i > 0 and p[i - 1] in ":："
 
 
+def _is_plain(p: str) -> bool:
+    """Whether nothing is quoted, linked, or ended by a blank in a paragraph."""
+    return not (_QUOTING.search(p) or "://" in p or "www." in p or (not p.isascii() and _BLANK_ENDS.search(p)))
+
+
 def candidates(p: str) -> list[Candidate]:
     """Possible boundaries inside one paragraph, in order; linear in the paragraph."""
     out: list[Candidate] = []
     end = len(p.rstrip())
-    packed = not p.isascii() and _BLANK_ENDS.search(p) is not None
     skip_to = m.end() if (m := _LIST.match(p)) else 0
-    linked = "://" in p or "www." in p
-    if not packed and not linked and not _QUOTING.search(p):
+    if _is_plain(p):
         for m in _PLAIN.finditer(p, skip_to):
             mark, gap, first = m.groups()
             at, e = m.start(2), m.end(1)
             out.append(Candidate(at, mark, _previous(p, m.start()), _next(p, m.start(3)), gap, first, at > e))
         return out
+    packed = not p.isascii() and _BLANK_ENDS.search(p) is not None
+    linked = "://" in p or "www." in p
     marks = _MARKS.finditer(p, skip_to)
     around, opened = _pairs(p) if _QUOTING.search(p) else (None, {})
     addresses: deque = deque()
@@ -339,6 +344,35 @@ def flags(c: Candidate, low_text: bool) -> int:
     return out | _CLOSED * c.closer | _COLON * c.colon | _PAIR * (c.opened >= 0) | _BRACKET * c.bracket | _LOW_TEXT * low_text
 
 
+@lru_cache(maxsize=20_000)
+def _plain_flags(mark: str, gap: str, first: str, closed: bool) -> int:
+    return flags(Candidate(0, mark, "word", "", gap, first, closed), False)
+
+
+def _read_plain(p: str, skip: int, a: int, low: bool, out: list[tuple], dots: Counter | None, total: Counter | None) -> None:
+    """The candidates of a plain paragraph as ``read`` gives them, without an object each."""
+    low_bit = _LOW_TEXT * low
+    for m in _PLAIN.finditer(p, skip):
+        mark, gap, first = m.groups()
+        at, start = m.start(2), m.start(3)
+        before = _previous(p, m.start())
+        f = _plain_flags(mark, gap, first, at > m.end(1)) | low_bit
+        if f & _DOT:
+            if "." in before:
+                f |= _DOTTED
+            if len(before) <= 3:
+                f |= _SHORT
+            if before == "<num>":
+                f |= _NUM
+            elif before == "<initial>":
+                f |= _INITIAL
+            if dots is not None and (gap or f & _CLOSED):
+                dots[before] += 1
+        if total is not None and "." in before:
+            total[before] += 1
+        out.append((a + at, a + start, -1, f, token_hash(before), token_hash(_next(p, start))))
+
+
 @dataclass
 class Counts:
     """Per token, by its hash: before a dot, at a paragraph's end before its dot, at a paragraph's start, overall."""
@@ -405,17 +439,21 @@ def read(text: str, into: dict[str, Counter] | None = None) -> tuple[list[int],
     out: list[tuple] = []
     for a, b in spans:
         p = text[a:b]
-        found = candidates(p)
         bare = p.rstrip()
         lead = len(p) - len(p.lstrip())
         if not bare:
             continue
         ends += [a + lead, a + len(bare)]
+        skip = m.end() if (m := _LIST.match(p)) else 0
+        found: list[Candidate] = []
+        if _is_plain(p):
+            _read_plain(p, skip, a, low, out, into and into["dot"], into and into["total"])
+        else:
+            found = candidates(p)
         for c in found:
             out.append((a + c.at, a + c.at + len(c.gap), a + c.opened if c.opened >= 0 else -1, flags(c, low), token_hash(c.before), token_hash(c.after)))
         if into is None:
             continue
-        skip = m.end() if (m := _LIST.match(p)) else 0
         into["words"].update(_WORD.findall(p, skip) if skip else _WORD.findall(p))
         into["start"][_next(p, skip)] += 1
         tail = bare.rstrip(_STRIPPED).rstrip()
