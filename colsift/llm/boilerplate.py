@@ -16,7 +16,7 @@ mean importance of its features, and a share of its presentation's. Blocks up to
 
 Between the two, and on hosts of fewer than ``LEAST_PAGES`` pages, which show no repetition, a
 logistic model decides: it is fitted on blocks that the tree settles, from about ``FIT_PAGES``
-pages, and sees the block's importance, its layout and the odds of its words.
+pages, and sees a block's layout and the odds of its words.
 """
 
 from __future__ import annotations

@@ -21,7 +21,6 @@ then meet the counts of the tokens they hold, and all their candidates are class
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
