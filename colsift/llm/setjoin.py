@@ -70,7 +70,7 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int = 1) -> tuple[
     ship(spark)
     clean = sets.where("id is not null and tokens is not null").select("id", F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens"))
     # Sets are told by two hashes of their tokens, so copies of one set are partial sums and never one task's rows.
-    sized = clean.where(F.size("tokens") >= min_size).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.reverse("tokens"), F.lit(1))})
+    sized = written(clean.where(F.size("tokens") >= min_size).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.reverse("tokens"), F.lit(1))}), "sets")
     placed = sized.select("id", "k1", "k2", F.size("tokens").alias("n")).distinct()
     grouped = placed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = written(placed.join(grouped, ["k1", "k2"]).select("id", "rep", "copies", "n"), "members")
