@@ -20,26 +20,34 @@ def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*a.columns, *b.columns)])
 
 
-def recall(results: DataFrame, truth: DataFrame, keys: list[str] = MATCH_KEY) -> DataFrame:
-    """One row: found, expected and their ratio; the ratio is null for an empty truth."""
+def recall(results: DataFrame, truth: DataFrame, keys: list[str] = MATCH_KEY, expected: DataFrame | None = None) -> DataFrame:
+    """One row: found, expected and their ratio; the ratio is null for an empty truth.
+
+    With ``expected``, a row of that name, ``truth`` need only hold what ``results`` can match.
+    """
     found = hits(results.select(*keys).distinct(), truth, keys).agg(F.count("*").alias("found"))
-    expected = truth.select(*keys).distinct().agg(F.count("*").alias("expected"))
+    if expected is None:
+        expected = truth.select(*keys).distinct().agg(F.count("*").alias("expected"))
     return _one_row(found, expected).withColumn("recall", F.expr("found / nullif(expected, 0)"))
 
 
-def precision(results: DataFrame, truth: DataFrame, k: int, keys: list[str] = MATCH_KEY, query: list[str] = MATCH_KEY[:3]) -> DataFrame:
-    """One row: found, possible = the sum over queries of min(expected, k), and their ratio."""
+def precision(results: DataFrame, truth: DataFrame, k: int, keys: list[str] = MATCH_KEY, query: list[str] = MATCH_KEY[:3], possible: DataFrame | None = None) -> DataFrame:
+    """One row: found, possible = the sum over queries of min(expected, k), and their ratio; ``possible`` as ``expected`` of ``recall``."""
     found = hits(results.select(*keys).distinct(), truth, keys).agg(F.count("*").alias("found"))
-    possible = truth.select(*keys).distinct().groupBy(*query).count().agg(F.sum(F.least("count", F.lit(k))).alias("possible"))
+    if possible is None:
+        possible = truth.select(*keys).distinct().groupBy(*query).count().agg(F.sum(F.least("count", F.lit(k))).alias("possible"))
     return _one_row(found, possible).withColumn("precision", F.expr("found / nullif(possible, 0)"))
 
 
-def recall_on_distance(results: DataFrame, truth: DataFrame, query: list[str] = MATCH_KEY[:3]) -> DataFrame:
-    """Share of ranks at which both runs have relatively close distances: ids may differ under ties."""
+def recall_on_distance(results: DataFrame, truth: DataFrame, query: list[str] = MATCH_KEY[:3], expected: DataFrame | None = None) -> DataFrame:
+    """Share of ranks at which both runs have relatively close distances: ids may differ under ties. ``expected`` as of ``recall``."""
     keys = [*query, "rank"]
     both = truth.select(*keys, F.col("d").alias("d_truth")).join(results.select(*keys, "d"), keys, "left")
     close = F.coalesce(relatively_close(F.col("d"), F.col("d_truth")), F.lit(False))
-    return both.agg(F.count_if(close).alias("found"), F.count("*").alias("expected")).withColumn("recall", F.expr("found / nullif(expected, 0)"))
+    counts = both.agg(F.count_if(close).alias("found"), F.count("*").alias("expected"))
+    if expected is not None:
+        counts = _one_row(counts.select("found"), expected)
+    return counts.withColumn("recall", F.expr("found / nullif(expected, 0)"))
 
 
 def effective_epsilon(approximate: DataFrame, exact: DataFrame, query: list[str] = MATCH_KEY[:3]) -> DataFrame:

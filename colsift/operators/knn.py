@@ -7,8 +7,11 @@ squared Euclidean; ties are settled by (table_id, set_id, pos).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ QUERY_KEY = ["q_table_id", "q_set_id", "q_pos"]
 ORDER = ["d", "table_id", "set_id", "pos"]
 #: Queries and vectors of one tile: 8 bytes x dim x as many are held at once.
 TILE_QUERIES, TILE_VECTORS = 2_048, 16_384
+#: Queries, and vectors, of one tile of a search within limits, which holds them as stored.
+TILE_LIMITED = 131_072
+#: Vectors that tell which limits can't hold a nearest neighbour.
+PROBES = 2_048
 
 
 def as_queries(vectors: DataFrame) -> DataFrame:
@@ -203,3 +210,119 @@ def within(queries: DataFrame, corpus: DataFrame, threshold: float, exclude: str
         return pd.concat(out)
 
     return tiled(_ids(queries, QUERY_KEY, "q_v"), _ids(corpus, ["table_id", "set_id", "pos"], "v"), run, _PAIR)
+
+
+def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def promising(rows: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``rows`` (q_table_id, q_v, least, ...) without those for which ``k`` vectors of other tables are closer than ``least``.
+
+    Only some vectors are tried, so a row that stays may have as many; a row that goes surely has.
+    """
+    ship(rows.sparkSession)
+    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).select("vec_id", "table_id", "v").toPandas().drop_duplicates("vec_id")
+    if len(some) < k:
+        return rows
+    shared = rows.sparkSession.sparkContext.broadcast((some["table_id"].to_numpy(), matrix(some["v"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, x = shared.value
+        xn = (x * x).sum(1)
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            if batch.num_rows:
+                tables, least = batch.column("q_table_id").to_numpy(), batch.column("least").to_numpy()
+                every = _values(batch.column("q_v"))
+                for s in range(0, len(kept), 512):
+                    part = slice(s, s + 512)
+                    q = every[part].astype(np.float64)
+                    qn = (q * q).sum(1)
+                    # The product loses digits to cancellation.
+                    slack = 1e-12 * (np.sqrt(qn)[:, None] + np.sqrt(xn)[None]) ** 2
+                    closer = (qn[:, None] + xn[None] - 2 * q @ x.T + slack < least[part, None]) & (tables[part, None] != t[None])
+                    kept[part] = closer.sum(1) < k
+            yield batch.filter(pa.array(kept))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _limited_tile(q: np.ndarray, q_table: np.ndarray, limit: np.ndarray, x: np.ndarray, ids: tuple, k: int) -> pd.DataFrame:
+    """(q, d, table_id, set_id, pos, at): the at most ``k`` nearest rows of ``x`` of other tables within each query's limit.
+
+    A float32 product over half of the values, or all where that leaves many, bounds each
+    distance from below, with a slack for its rounding; what may be within the limit is scored
+    exactly in float64. Limits shrink as a query's nearest rows are found.
+    """
+    t, s, p = ids
+    found, bound = [], limit.astype(np.float64)
+    big = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))
+    kind = np.float32 if big < 1e15 else np.float64
+    sides = {}
+    for h in (x.shape[1] // 2, x.shape[1]):
+        qh, xh = q[:, :h].astype(kind), x[:, :h].astype(kind)
+        qn, xn = (qh.astype(np.float64) ** 2).sum(1), (xh.astype(np.float64) ** 2).sum(1)
+        sides[h] = np.column_stack([qh, np.ones(len(q), kind)]), np.column_stack([xh, (-xn / 2).astype(kind)]), qn, xn
+    by_limit = np.argsort(bound, kind="stable")
+    for a in range(0, len(q), 256):
+        at, h, held = by_limit[a : a + 256], x.shape[1] // 2, []
+        for b in range(0, len(x), 2048):
+            while True:
+                qa, xa, qn, xn = sides[h]
+                slack = (h + 8) * 2.4e-7 * (np.sqrt(qn[at].max()) + np.sqrt(xn[b : b + 2048].max())) ** 2
+                floor = ((qn[at] - bound[at] - slack) / 2)[:, None]
+                near = np.flatnonzero(qa[at] @ xa[b : b + 2048].T >= np.nextafter(floor.astype(kind), kind(-np.inf)))
+                if h == x.shape[1] or len(near) < 2048:
+                    break
+                h = x.shape[1]
+            width = min(2048, len(x) - b)
+            for c in range(0, len(near), 65_536):
+                i, j = at[near[c : c + 65_536] // width], b + near[c : c + 65_536] % width
+                d = ((q[i].astype(np.float64) - x[j]) ** 2).sum(1)
+                kept = (d <= bound[i]) & np.isfinite(d) & (q_table[i] != t[j])
+                if not kept.any():
+                    continue
+                i, j = i[kept], j[kept]
+                held.append(pd.DataFrame({"q": i, "d": d[kept], "table_id": t[j], "set_id": s[j], "pos": p[j], "at": j}))
+                if sum(map(len, held)) > 20_000:
+                    held = [best_rows(pd.concat(held), k)]
+                    full = held[0].groupby("q")["d"].agg(["size", "max"])
+                    full = full[full["size"] >= k]
+                    bound[full.index] = np.minimum(bound[full.index], full["max"])
+        found += held and [best_rows(pd.concat(held), k)]
+    return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("q", *ORDER, "at")})
+
+
+def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(q_vec_id, vec_id, d, rank): the nearest vectors of other tables, at most ``k`` and none beyond the query's limit.
+
+    ``queries`` has (q_vec_id, q_table_id, q_v, limit), each once, and ``vectors`` (vec_id, table_id, set_id, pos, v),
+    where rows of an id may repeat. Both are counted, so they should be stored, not computed.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    rows = max(1, -(-queries.count() // TILE_LIMITED))
+    cols = max(1, -(-vectors.count() // TILE_LIMITED), -(-spark.sparkContext.defaultParallelism // rows))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q_vec_id", "q_table_id", "q_v", "limit", block("q_vec_id", rows).alias("__row"), each(cols).alias("__col"))
+    right = vectors.select("vec_id", "table_id", "set_id", "pos", "v", block("vec_id", cols).alias("__in_col"), each(rows).alias("__in_row"))
+    schema = "q_vec_id long, vec_id long, table_id int, set_id int, pos int, d double"
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = pd.DataFrame({c: [] for c in ("q", *ORDER, "at")})
+        if a.num_rows and b.num_rows:
+            _, once = np.unique(b.column("vec_id").to_numpy(), return_index=True)
+            b = b.take(pa.array(once))
+            ids = tuple(b.column(c).to_numpy() for c in ("table_id", "set_id", "pos"))
+            found = _limited_tile(_values(a.column("q_v")), a.column("q_table_id").to_numpy(), a.column("limit").to_numpy(), _values(b.column("v")), ids, k)
+        of, at = (pa.array(found[c].to_numpy().astype(np.int64)) for c in ("q", "at"))
+        kinds = {"table_id": pa.int32(), "set_id": pa.int32(), "pos": pa.int32(), "d": pa.float64()}
+        return pa.table({"q_vec_id": a.column("q_vec_id").take(of), "vec_id": b.column("vec_id").take(at)} | {c: pa.array(found[c].to_numpy(), kind) for c, kind in kinds.items()})
+
+    met = left.groupBy("__row", "__col").cogroup(right.groupBy("__in_row", "__in_col")).applyInArrow(run, schema)
+    by_query = Window.partitionBy("q_vec_id").orderBy(*ORDER)
+    return met.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("q_vec_id", "vec_id", "d", "rank")

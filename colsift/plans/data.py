@@ -16,10 +16,15 @@ ENDS = S.even_ends(DIM, 5)
 K = 10
 
 
+def lake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable vectors as stored, some in several rows: vec_id, table_id, set_id, pos, v."""
+    df = table(spark, sf_dir, "cell_vectors").where(usable(F.col("vec_values"), DIM))
+    return df.select("vec_id", "table_id", "set_id", "pos", F.col("vec_values").alias("v"))
+
+
 def lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable vectors, each once: vec_id, table_id, set_id, pos, v."""
-    df = table(spark, sf_dir, "cell_vectors").where(usable(F.col("vec_values"), DIM))
-    return df.select("vec_id", "table_id", "set_id", "pos", F.col("vec_values").alias("v")).dropDuplicates(["vec_id"])
+    return lake_rows(spark, sf_dir).dropDuplicates(["vec_id"])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

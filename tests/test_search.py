@@ -189,3 +189,56 @@ def test_blocks_split_until_none_is_too_large(spark):
     sizes = built.groupBy("block_id").agg(F.count("*").alias("n"), F.count_distinct("v").alias("kinds")).collect()
     assert sum(r.n for r in sizes) == 21
     assert all(r.n <= 3 or r.kinds == 1 for r in sizes)
+
+
+@pytest.mark.parametrize("tile", [40, 1_000])
+def test_nearest_within_limits_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(knn, "TILE_LIMITED", tile)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, DIM)).astype(np.float32)
+    x[60:90] = x[:30] + rng.normal(size=(30, DIM)).astype(np.float32) * 0.01
+    x[90:110] = x[5]
+    rows = [(i, i % 7, 0, i, [float(y) for y in v]) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + rows[::3], "vec_id long, table_id int, set_id int, pos int, v array<float>")
+    limits = {i: [0.0, 0.01, 4.0, 1e300, float("inf")][i % 5] for i in range(0, 120, 2)}
+    queries = spark.createDataFrame([(i, i % 7, rows[i][4], y) for i, y in limits.items()], "q_vec_id long, q_table_id int, q_v array<float>, limit double")
+    want = set()
+    for i, y in limits.items():
+        d = ((x[i].astype(float) - x.astype(float)) ** 2).sum(1)
+        near = sorted((d[j], j % 7, 0, j) for j in range(120) if j % 7 != i % 7 and d[j] <= y)[:4]
+        want |= {(i, m[3], r + 1) for r, m in enumerate(near)}
+    assert {(r.q_vec_id, r.vec_id, r["rank"]) for r in knn.nearest_within(queries, vectors, 4).collect()} == want
+    assert knn.nearest_within(queries.limit(0), vectors, 4).count() == knn.nearest_within(queries, vectors.limit(0), 4).count() == 0
+
+
+@pytest.fixture(scope="module")
+def logged(spark, tmp_path_factory):
+    """A log of far vectors with three near ones, one at the distance of another vector, and a query that is no vector."""
+    at = tmp_path_factory.mktemp("logged")
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 50)).astype(np.float32)
+    x[100:103] = x[:3] + np.float32(0.01)
+    rows = [(i, i % 9, 0, i, [float(y) for y in v]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows + rows[:20], "vec_id long, table_id int, set_id int, pos int, vec_values array<float>").write.parquet(f"{at}/cell_vectors.parquet")
+    d = lambda i, j: float(((x[i].astype(float) - x[j].astype(float)) ** 2).sum())
+    far = [(i, int(np.argsort([d(i, j) for j in range(300)])[200]), 250.0) for i in range(20, 80)]
+    log = [(i, 100 + i, d(i, 100 + i)) for i in range(3)] + [(3, 4, d(3, 4)), (999, 5, 0.5), (5, 888, 0.1)] + far
+    spark.createDataFrame(log + log[:2], "q_vec_id long, vec_id long, distance double").write.parquet(f"{at}/query_results.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["a4_precision", "j7_recall_hits", "a3_recall", "j8_recall_on_distance"])
+def test_log_is_held_against_what_it_can_match(spark, monkeypatch, logged, name):
+    """The answer is the SQL's, and queries whose logged vectors are surely beaten are not searched."""
+    duckdb = pytest.importorskip("duckdb")
+    from colsift.plans import search
+
+    asked, run = [], knn.nearest_within
+    monkeypatch.setattr(knn, "nearest_within", lambda queries, *rest: asked.append(queries.count()) or run(queries, *rest))
+    found = search.QUERIES[name](spark, logged)
+    con = duckdb.connect()
+    for t in ("cell_vectors", "query_results"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{logged}/{t}.parquet/*.parquet'")
+    want = con.sql(search.SQL[name])
+    assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert len(asked) == 1 and 3 <= asked[0] <= 6
