@@ -87,3 +87,14 @@ def test_names(spark):
     assert [tuple(r) for r in df.select(*text.parse_file_name(F.col("n"))).collect()] == [(7, 3, 2, 50), (None,) * 4, (None,) * 4]
     ups = spark.createDataFrame([("t12.csv",), ("x.csv",)], "n string").select(text.upload_table_id(F.col("n")).alias("i")).collect()
     assert [r.i for r in ups] == [12, 0]
+
+
+@pytest.mark.parametrize("window", [0, 1, 5, 20])
+@pytest.mark.parametrize("n", [1, 2, 7, 20])
+def test_sifted_warping_pairs_are_whole(n, window):
+    """All pairs within the limit, and none that is clearly beyond."""
+    x = np.random.default_rng(1).normal(size=(300, n)).astype(np.float32).astype(float)
+    d = distance.dtw_matrix(np.repeat(x[7:8], 300, 0), x, window)
+    for limit in (0.0, np.percentile(d, 5), np.median(d), np.inf):
+        got = set(distance.dtw_close(x[7], np.ascontiguousarray(x.T, np.float32), window, limit))
+        assert set(np.flatnonzero(d <= limit)) <= got <= set(np.flatnonzero(d <= limit * 1.001 + 1e-4))
