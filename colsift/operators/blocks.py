@@ -8,8 +8,11 @@ its k-th distance; blocks whose lower bound exceeds that are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from colsift.runtime import cut, remove, shared_path, ship
 
 #: Vectors of one tile of a block.
 TILE_ROWS = 20_000
+#: Vectors up to which a block is split to its end in one task.
+LOCAL_ROWS = 20_000
 
 
 def with_stats(vectors: DataFrame, ends: list[int], v: str = "v", out: str = "stats") -> DataFrame:
@@ -79,37 +84,94 @@ def refined_gains(blocks: DataFrame, ends: list[int]) -> DataFrame:
     return _gains(blocks, S.halve(ends), "halves").join(best, "block_id", "left").where(F.col("doubled").isNull() | (F.col("gain") > F.col("doubled")))
 
 
+def _best_split(mu: np.ndarray, sd: np.ndarray, lengths: list[int], least: float | None = None) -> tuple[tuple, float, np.ndarray] | None:
+    """(order, gain, right side) of the best split candidate of the rows' statistics, as in ``_gains``; with ``least`` only of those that gain more."""
+    spread = lambda of, i, n: n * ((mu[of, i].max() - mu[of, i].min()) ** 2 + sd[of, i].max() ** 2)
+    best = None
+    for i, n in enumerate(lengths):
+        for stat, x in (("mu", mu[:, i]), ("sd", sd[:, i])):
+            right = x >= (x.max() + x.min()) / 2
+            if right.all() or not right.any():
+                continue
+            gain = spread(slice(None), i, n) - (spread(~right, i, n) + spread(right, i, n)) / 2
+            if (least is None or gain > least) and (best is None or (gain, -i, stat) > best[0]):
+                best = (gain, -i, stat), gain, right
+    return best
+
+
+def _half_id(block: int, right: bool) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{block}:{right}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _split_whole(block: int, stats: tuple, halves: tuple, lengths: tuple, capacity: int) -> np.ndarray:
+    """Block ids of the rows of one block, split by the rules of ``build_blocks`` until no part exceeds ``capacity``."""
+    out, todo = np.full(len(stats[0]), block, np.int64), [(block, np.arange(len(stats[0])))]
+    while todo:
+        name, at = todo.pop()
+        best = None
+        if len(at) > capacity:
+            whole = _best_split(*(x[at] for x in stats), lengths[0])
+            half = _best_split(*(x[at] for x in halves), lengths[1], whole and 2 * whole[1])
+            best = half or whole
+        if best is None:
+            out[at] = name
+        else:
+            todo += [(_half_id(name, False), at[~best[2]]), (_half_id(name, True), at[best[2]])]
+    return out
+
+
 def build_blocks(vectors: DataFrame, ends: list[int], capacity: int = 1000) -> DataFrame:
     """``vectors`` with ``stats`` and ``block_id``: blocks split until none exceeds ``capacity``.
 
-    Each level splits every too large block at its best candidate, all blocks in one job: of
+    Each level splits every block of more than ``LOCAL_ROWS`` vectors at its best candidate, all blocks in one job: of
     whole segments, or of a half segment that gains more than twice as much. Blocks of equal
     statistics can't be split and stay as they are. A half's id is a hash of its block's and
     its side, so levels have no limit. A level is written once and its predecessor removed.
+    Smaller blocks are split by the same rules, each to its end in one task.
     """
     spark = vectors.sparkSession
     placed, path = with_stats(with_stats(vectors, ends), S.halve(ends), out="halves").withColumn("block_id", F.lit(1).cast("long")), None
-    while True:
+
+    def stored(df: DataFrame, before: str | None) -> tuple[DataFrame, str]:
         at = shared_path(spark, "blocks")
-        placed.write.parquet(at)
-        schema = placed.schema
-        placed = spark.read.schema(schema).parquet(at)
-        if path:
-            remove(spark, path)
-        path = at
-        large = placed.groupBy("block_id").count().where(F.col("count") > capacity).select("block_id")
+        df.write.option("compression", "zstd").parquet(at)
+        if before:
+            remove(spark, before)
+        return spark.read.schema(df.schema).parquet(at), at
+
+    while True:
+        placed, path = stored(placed, path)
+        large = placed.groupBy("block_id").count().where(F.col("count") > max(capacity, LOCAL_ROWS)).select("block_id")
         todo = cut(placed.join(large, "block_id", "left_semi").select("block_id", "stats", "halves"))
         whole, half = (g.select("block_id", "segment", "stat", "split_at", "gain", F.lit(x).alias("refined")) for g, x in ((_gains(todo, ends, "stats"), False), (refined_gains(todo, ends), True)))
         best = F.max_by(F.struct("segment", "stat", "split_at", "refined"), F.struct("gain", -F.col("segment"), "stat", "refined"))
-        plan = cut(whole.unionByName(half).groupBy("block_id").agg(best.alias("x")).select("block_id", "x.*"))
-        if plan.isEmpty():
-            return placed.drop("halves")
+        plan = cut(whole.unionByName(half).groupBy("block_id").agg(best.alias("x")).select("block_id", "x.*")) if not todo.isEmpty() else None
+        if plan is None or plan.isEmpty():
+            break
         s = F.when(F.col("refined"), F.element_at("halves", F.col("segment") + 1)).otherwise(F.get("stats", F.col("segment")))
         right = F.when(F.col("stat") == "mu", s["mu"]).otherwise(s["sd"]) >= F.col("split_at")
         # One plan row a too large block, fewer than vectors / capacity; Spark sends it to all tasks only where it is small.
         moved = placed.join(plan, "block_id", "left")
         code = F.when(F.col("segment").isNull(), F.col("block_id")).otherwise(F.xxhash64("block_id", right))
-        placed = moved.withColumn("block_id", code).drop("segment", "stat", "split_at", "refined").select(*schema.names)
+        placed = moved.withColumn("block_id", code).drop("segment", "stat", "split_at", "refined").select(*placed.columns)
+
+    lengths = tuple([n for _, n in S.bounds(e)] for e in (ends, S.halve(ends)))
+    at = placed.columns.index("block_id")
+
+    def values(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        flat = rows.column(name).combine_chunks().flatten()
+        return tuple(flat.field(f).to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for f in ("mu", "sd"))
+
+    def split(rows: pa.Table) -> pa.Table:
+        found = _split_whole(rows.column("block_id")[0].as_py(), values(rows, "stats"), values(rows, "halves"), lengths, capacity)
+        return rows.set_column(at, "block_id", pa.array(found)).drop_columns(["halves"])
+
+    small = placed.groupBy("block_id").count().where(F.col("count") <= LOCAL_ROWS).select("block_id")
+    ship(spark)
+    local = placed.join(small, "block_id", "left_semi").select(*placed.columns).groupBy("block_id").applyInArrow(split, placed.drop("halves").schema)
+    # Blocks that are larger still can't be split.
+    rest = placed.join(small, "block_id", "left_anti").select(*placed.columns).drop("halves")
+    return stored(local.unionByName(rest), path)[0]
 
 
 def _ranges(summaries: DataFrame) -> DataFrame:
@@ -121,8 +183,11 @@ def _ranges(summaries: DataFrame) -> DataFrame:
 TILE_BOUNDS = (512, 4_096)
 
 
-def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int]) -> DataFrame:
-    """(query key, block_id, n, lb, ub): a stated query set against all synopses, in tiles."""
+def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int], best: str | None = None) -> DataFrame:
+    """(query key, block_id, n, lb, ub): a stated query set against all synopses, in tiles.
+
+    With ``best``, 'lb' or 'ub', each tile gives only the block of the least such bound of each query.
+    """
     lengths = [n for _, n in S.bounds(ends)]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -135,6 +200,10 @@ def block_bounds(queries: DataFrame, summaries: DataFrame, ends: list[int]) -> D
             far = np.maximum(np.abs(mu[:, i, None] - mn[None, :, i]), np.abs(mu[:, i, None] - mx[None, :, i]))
             high += n * ((sd[:, i, None] + sx[None, :, i]) ** 2 + far**2)
         i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        if best:
+            by_id = np.argsort(b["block_id"].to_numpy())
+            i, j = np.arange(len(a)), by_id[(low if best == "lb" else high)[:, by_id].argmin(1)]
+            low, high = low[i, j], high[i, j]
         return pd.DataFrame({c: a[c].to_numpy()[i] for c in QUERY_KEY} | {c: b[c].to_numpy()[j] for c in ("block_id", "n")} | {"lb": low.ravel(), "ub": high.ravel()})
 
     q = with_stats(queries, ends, "q_v", "q_stats")
@@ -206,6 +275,50 @@ def surviving(bounds: DataFrame, taus: DataFrame, epsilon: float = 0.0) -> DataF
     return bounds.join(taus, QUERY_KEY).withColumn("kept", F.col("lb") <= limit)
 
 
+def _search_within(asked: DataFrame, placed: DataFrame, ends: list[int], k: int, exclude: str) -> DataFrame:
+    """k nearest of queries with a bound ``tau`` of their k-th distance.
+
+    Queries and blocks meet in tiles, which tell themselves which blocks a query must read, so
+    no row is made of a (query, block) pair. A tile of which most must be read is read whole.
+    """
+    sizes = placed.groupBy("block_id").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
+    rows = placed.select("block_id", *(F.col(c).cast("int").alias(c) for c in ("table_id", "set_id", "pos")), "v").join(sizes, "block_id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("table_id", "set_id", "pos"), F.col("parts")).cast("int")).drop("parts")
+
+    def stats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [x[:, a : a + n] for a, n in S.bounds(ends)]
+        return np.column_stack([p.mean(1) for p in parts]), np.column_stack([p.std(1) for p in parts])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("block_id")
+        start = np.unique(b["block_id"].to_numpy(), return_index=True)[1]
+        stop = [*start[1:], len(b)]
+        q, x = matrix(a["q_v"]), matrix(b["v"])
+        bound = np.zeros((len(a), len(start)))
+        for y, of in zip(stats(q), stats(x)):
+            low, high = np.minimum.reduceat(of, start), np.maximum.reduceat(of, start)
+            for i, (_, n) in enumerate(S.bounds(ends)):
+                bound += n * np.maximum(0, np.maximum(low[None, :, i] - y[:, i, None], y[:, i, None] - high[None, :, i])) ** 2
+        kept = bound <= a["tau"].to_numpy()[:, None] * (1 + 1e-6) + 1e-9
+        q_ids, ids = tuple(a[c].to_numpy() for c in QUERY_KEY), tuple(b[c].to_numpy() for c in ("table_id", "set_id", "pos"))
+        found = []
+        if kept.mean() > 0.3:
+            found.append(nearest_rows(q, q_ids, x, ids, k, exclude))
+        else:
+            for j, (s, e) in enumerate(zip(start, stop)):
+                at = np.flatnonzero(kept[:, j])
+                if len(at):
+                    near = nearest_rows(q[at], tuple(c[at] for c in q_ids), x[s:e], tuple(c[s:e] for c in ids), k, exclude)
+                    found.append(near.assign(q=at[near["q"].to_numpy().astype(int)]))
+        best = best_rows(pd.concat(found), k) if found else pd.DataFrame({c: [] for c in ("q", "d", "table_id", "set_id", "pos")})
+        at = best["q"].to_numpy().astype(int)
+        return pd.DataFrame({c: v[at] for c, v in zip(QUERY_KEY, q_ids)} | {c: best[c].to_numpy() for c in ("table_id", "set_id", "pos", "d")})
+
+    queries = cut(asked.select(*(F.col(c).cast("int").alias(c) for c in QUERY_KEY), "q_v", "tau"))
+    schema = "q_table_id int, q_set_id int, q_pos int, table_id int, set_id int, pos int, d double"
+    return rank_matches(tiled(queries, rows, run, schema, QUERY_KEY, ["block_id", "part"]), k)
+
+
 def pruned_knn(queries: DataFrame, placed: DataFrame, ends: list[int], k: int, exclude: str = "table", epsilon: float = 0.0, nprobes: int | None = None, policy: str = "lb") -> DataFrame:
     """k nearest through blocks.
 
@@ -214,6 +327,9 @@ def pruned_knn(queries: DataFrame, placed: DataFrame, ends: list[int], k: int, e
     blocks a query, best first, and promises nothing. ``policy`` orders blocks by their lower
     ('lb') or upper ('ub') bound for the seed; the exact answer doesn't depend on it.
     """
+    if nprobes is None and not epsilon:
+        first = block_bounds(queries, summarise(placed, ends), ends, policy)
+        return _search_within(queries.join(seed_bounds(first, queries, placed, k, exclude, policy), QUERY_KEY), placed, ends, k, exclude)
     bounds = cut(block_bounds(queries, summarise(placed, ends), ends))
     if nprobes is not None:
         order = Window.partitionBy(*QUERY_KEY).orderBy(policy, "block_id")

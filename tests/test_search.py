@@ -242,3 +242,23 @@ def test_log_is_held_against_what_it_can_match(spark, monkeypatch, logged, name)
     want = con.sql(search.SQL[name])
     assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(want.fetchall())
     assert len(asked) == 1 and 3 <= asked[0] <= 6
+
+
+def test_blocks_split_in_one_task_as_by_levels(lake, monkeypatch):
+    """Blocks that fit a task take no levels, and are the same sets of vectors."""
+    found, written, save = [], [], blocks.shared_path
+    monkeypatch.setattr(blocks, "shared_path", lambda *of: written.append(of) or save(*of))
+    for rows in (5, 20_000):
+        monkeypatch.setattr(blocks, "LOCAL_ROWS", rows)
+        written.clear()
+        members = blocks.build_blocks(lake, ENDS, capacity=5).groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("table_id", "set_id", "pos"))).alias("m"))
+        found.append({tuple(map(tuple, r.m)) for r in members.collect()})
+    assert found[0] == found[1] and len(written) == 2
+
+
+def test_pruned_search_makes_no_row_of_a_query_and_block(lake, placed, monkeypatch):
+    q = knn.as_queries(lake.where("table_id <= 3"))
+    sizes, search = [], blocks.search_blocks
+    monkeypatch.setattr(blocks, "search_blocks", lambda queries, chosen, *rest: sizes.append(chosen.count()) or search(queries, chosen, *rest))
+    assert _keys(blocks.pruned_knn(q, placed, ENDS, 4)) == _keys(knn.knn_join(q, lake, 4))
+    assert sizes == [q.count()]
