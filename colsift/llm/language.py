@@ -3,9 +3,9 @@
 A known word is scored by its log-frequency in each language. A word no language knows is
 scored by its character n-grams, the longest length first, falling back to shorter ones until
 some are known. Scripts without blanks have no known words and start at the n-grams. The
-frequencies come from samples with a trusted language and, as these are few, from a sample of
-the corpus drawn by a hash: the words of sentences whose language the trusted samples settle
-beyond doubt are counted and the tables made anew. Every text is then read once.
+frequencies come from samples with a trusted language and, as these are few, from the corpus:
+the words of all its sentences whose language the trusted samples settle beyond doubt are
+counted and the tables made anew. Every text is then read once more.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ CODES = {
 }
 _BY_NAME = {name: code for code, names in CODES.items() for name in [code, *names.split()]}
 
-#: Longest n-gram, trusted samples read at most, blocks of the corpus that teach words (about),
-#: least confidence and share of known words of a sentence that does. Of what they teach, words that
+#: Longest n-gram, trusted samples read at most, least confidence and share of known words of a sentence that does. Of what they teach, words that
 #: make up this share of their language's are learned, rarer ones are mostly names.
 LONGEST = 5
 MOST_SAMPLES = 50_000
-LEARN_BLOCKS = 40_000
 SURE = 0.999
 SURE_KNOWN = 0.5
 WORD_SHARE = 1 / 20_000
@@ -251,12 +249,13 @@ def units(word: str) -> list[str]:
 
 
 def learn(blocks: DataFrame, seed: dict[str, Counter], block_col: str = "block") -> Model:
-    """Model from the samples and from sentences whose language they settle, of about ``LEARN_BLOCKS`` blocks."""
+    """Model from the samples and from all sentences of the blocks whose language they settle.
+
+    Counts are partial sums over all blocks; only words of a share of their language come to the driver.
+    """
     spark = blocks.sparkSession
     ship(spark)
     first = spark.sparkContext.broadcast(Model(seed))
-    share = LEARN_BLOCKS / max(LEARN_BLOCKS, blocks.count())
-    some = blocks.where(F.pmod(F.xxhash64(block_col), F.lit(1_000_003)) <= math.ceil(1_000_003 * share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
@@ -274,14 +273,15 @@ def learn(blocks: DataFrame, seed: dict[str, Counter], block_col: str = "block")
                     if any(map(_PACKED.match, words)):
                         words = [x for w in words for x in units(w)]
                     counts[code].update(words)
+            if sum(map(len, counts.values())) > CACHE_WORDS:
+                yield flush()
         yield flush()
 
-    per = some.select(block_col).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = per.collect()
-    whole: Counter = Counter()
-    for r in rows:
-        whole[r["lang"]] += r["n"]
-    rows = [r for r in rows if r["n"] >= max(WORD_LEAST, WORD_SHARE * whole[r["lang"]])]
+    per = blocks.select(block_col).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # Summed once, read twice; there is one row of ``whole`` a language.
+    per = written(per, "words")
+    whole = per.groupBy("lang").agg(F.sum("n").alias("whole"))
+    rows = per.join(F.broadcast(whole), "lang").where(F.col("n") >= F.greatest(F.lit(float(WORD_LEAST)), WORD_SHARE * F.col("whole"))).collect()
     grown: dict[str, Counter] = {}
     for code, of in seed.items():
         grown[code] = Counter()

@@ -275,3 +275,17 @@ def test_long_blocks_and_words():
         assert _model().classify(many)[0] == m.classify(many)[0]
     finally:
         language.CACHE_WORDS = before
+
+
+def test_all_blocks_teach_words(spark, monkeypatch):
+    """A word of few blocks is learned from a corpus of more blocks than were once sampled."""
+    from collections import Counter
+
+    from colsift.llm import language
+
+    monkeypatch.setattr(language, "LEARN_BLOCKS", 10, raising=False)
+    seed = {"en": Counter("the house is on the hill and we see it every day".split()), "de": Counter("das haus ist auf dem berg und wir sehen es jeden tag".split())}
+    texts = [f"the house is on the hill and we see the w{chr(97 + i % 20)}{chr(97 + i // 20)}o every day" for i in range(200)]
+    blocks = spark.createDataFrame([(t,) for t in texts * 4], "block string")
+    known = language.learn(blocks, seed).words
+    assert all(f"w{chr(97 + i % 20)}{chr(97 + i // 20)}o" in known for i in range(200))
