@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ from colsift.functions.distance import l2_normalise, let
 from colsift.functions.text import has_header_row, keeps_cell, normalise
 from colsift.operators.knn import exact_join, knn_join
 from colsift.operators.rank import top_columns, top_tables
+from colsift.runtime import ship, written
 
 Embedder = Callable[[DataFrame], DataFrame]
+#: Words of asked columns, and of columns, of one tile of ``token_overlaps``; pairs of columns that it counts at once.
+TILE_ASKED, TILE_WORDS, TILE_PAIRS = 1_048_576, 524_288, 4_194_304
 
 
 def clean_cells(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
@@ -24,6 +29,79 @@ def clean_cells(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFr
     return tokens.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("token")) - 1)
 
 
+def _by_column(t: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tables and sets of the columns of the rows (t, s, w), and the column's number and the word of each distinct row, in their order."""
+    order = np.lexsort((w, s, t))
+    t, s, w = t[order], s[order], w[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+    column = np.cumsum(new) - 1
+    once = new.copy()
+    once[1:] |= w[1:] != w[:-1]
+    return t[new], s[new], column[once], w[once]
+
+
+def _tile_overlaps(asked: tuple, columns: tuple) -> Iterator[tuple]:
+    """(q_table_id, q_set_id, table_id, set_id, overlap) as arrays, part by part, of the rows (table_id, set_id, word) of either side."""
+    (qt, qs, qc, qw), (t, s, c, w) = _by_column(*asked), _by_column(*columns)
+    # The columns of each word, one list after the other.
+    words, at = np.unique(w, return_inverse=True)
+    lists = c[np.argsort(at, kind="stable")]
+    begins = np.r_[0, np.cumsum(np.bincount(at, minlength=len(words)))]
+    place = np.minimum(np.searchsorted(words, qw), len(words) - 1)
+    met = words[place] == qw
+    qc, place = qc[met], place[met]
+    sizes = begins[place + 1] - begins[place]
+    # A part is some asked columns whole; a column alone may have more than TILE_PAIRS.
+    least = np.r_[0, np.cumsum(np.bincount(qc, weights=sizes, minlength=len(qt)).astype(np.int64))]
+    a = 0
+    while a < len(qt):
+        b = max(a + 1, min(a + TILE_PAIRS // len(t), int(np.searchsorted(least, least[a] + TILE_PAIRS, "right")) - 1))
+        rows = slice(*np.searchsorted(qc, (a, b)))
+        n = sizes[rows]
+        shift = begins[place[rows]] - np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
+        pairs = lists[np.arange(n.sum()) + np.repeat(shift, n)] + np.repeat((qc[rows] - a) * len(t), n)
+        counts = np.bincount(pairs, minlength=(b - a) * len(t)).reshape(b - a, len(t))
+        i, j = np.nonzero(counts)
+        other = qt[a + i] != t[j]
+        i, j = i[other], j[other]
+        yield qt[a + i], qs[a + i], t[j], s[j], counts[i, j]
+        a = b
+
+
+def token_overlaps(tokens: DataFrame, asked: str) -> DataFrame:
+    """(q_table_id, q_set_id, table_id, set_id, overlap): how many tokens each asked column shares with each column of another table.
+
+    ``tokens`` is (table_id, set_id, token), where a row may repeat; ``asked`` is a predicate on it. Tokens of asked
+    columns are numbered and the others left out. Blocks of asked columns and of columns meet in tiles that count
+    all their pairs, so no pair is exchanged, and a tile's rows leave it part by part.
+    """
+    spark = tokens.sparkSession
+    ship(spark)
+    words = written(tokens.where(asked).select("token").distinct().select("token", F.monotonically_increasing_id().alias("word")), "words")
+    held = written(tokens.join(words.hint("shuffle_hash"), "token").select("table_id", "set_id", "word"), "held")
+    rows = max(1, -(-held.where(asked).count() // TILE_ASKED))
+    cols = max(1, -(-held.count() // TILE_WORDS), -(-2 * spark.sparkContext.defaultParallelism // rows))
+    block = lambda n: F.pmod(F.xxhash64("table_id", "set_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.where(asked).select("*", F.lit(True).alias("asked"), block(rows).alias("row"), each(cols).alias("col"))
+    right = held.select("*", F.lit(False).alias("asked"), each(rows).alias("row"), block(cols).alias("col"))
+    # A tile is a partition: by their bytes alone, Spark would join tiles into few tasks.
+    tiles = left.unionByName(right).select("table_id", "set_id", "word", "asked", (F.col("row") * cols + F.col("col")).alias("tile")).repartitionById(rows * cols, "tile")
+    names = ["q_table_id", "q_set_id", "table_id", "set_id"]
+    schema = pa.schema([*((c, pa.int32()) for c in names), ("overlap", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        is_asked = rows.column("asked").to_numpy()
+        both = [tuple(rows.column(c).to_numpy()[kept] for c in ("table_id", "set_id", "word")) for kept in (is_asked, ~is_asked)]
+        if all(len(x[0]) for x in both):
+            for found in _tile_overlaps(*both):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, schema.types)], schema=schema)
+
+    return tiles.groupBy("tile").applyInArrow(run, ", ".join(f"{c} int" for c in names) + ", overlap long")
+
+
 def require_text(tokens: DataFrame) -> DataFrame:
     """The cleaned query, or an error if nothing of it is text."""
     if tokens.isEmpty():

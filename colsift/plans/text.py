@@ -107,10 +107,9 @@ def a9_all_cell_vectors(spark, sf_dir):
 @query(f"""WITH {_CELLS}, {_TOKENS}, q AS (SELECT table_id AS q_table_id, set_id AS q_set_id, token FROM tokens WHERE {_ASKED})
 SELECT q_table_id, q_set_id, t.table_id, t.set_id, COUNT(*) AS overlap FROM q JOIN tokens t USING (token) WHERE t.table_id <> q_table_id GROUP BY ALL""")
 def w5_token_overlaps(spark, sf_dir):
-    everything = tokens(spark, sf_dir)
-    asked = everything.where(_ASKED).select(F.col("table_id").alias("q_table_id"), F.col("set_id").alias("q_set_id"), "token")
-    both = asked.join(everything, "token").where("table_id <> q_table_id")
-    return both.groupBy("q_table_id", "q_set_id", "table_id", "set_id").agg(F.count("*").alias("overlap"))
+    cols = table(spark, sf_dir, "raw_tables").where("table_id is not null").select("table_id", F.posexplode("relation").alias("set_id", "cells"))
+    cell = cols.select("table_id", "set_id", F.explode(F.array_distinct("cells")).alias("cell"))
+    return D.token_overlaps(cell.where(X.keeps_cell(F.col("cell"))).select("table_id", "set_id", X.normalise(F.col("cell")).alias("token")), _ASKED)
 
 
 _KEYWORDS = "price of grain water level"

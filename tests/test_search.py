@@ -262,3 +262,29 @@ def test_pruned_search_makes_no_row_of_a_query_and_block(lake, placed, monkeypat
     monkeypatch.setattr(blocks, "search_blocks", lambda queries, chosen, *rest: sizes.append(chosen.count()) or search(queries, chosen, *rest))
     assert _keys(blocks.pruned_knn(q, placed, ENDS, 4)) == _keys(knn.knn_join(q, lake, 4))
     assert sizes == [q.count()]
+
+
+@pytest.mark.parametrize("tile", [None, 5])
+def test_overlaps_without_a_row_of_a_pair(spark, monkeypatch, tmp_path, tile):
+    """Shared tokens are counted in tiles of any size; no join lists the pairs."""
+    from colsift.plans import text
+
+    if tile:
+        for name in ("TILE_ASKED", "TILE_WORDS", "TILE_PAIRS"):
+            monkeypatch.setattr(discover, name, tile)
+    rng = np.random.default_rng(4)
+    lake = [(t, [[f"w{w}" + "-X" * (w % 2) for w in rng.integers(0, 40, 9)] + [None, "", "12"] for _ in range(1 + t % 3)] + [None]) for t in range(0, 90, 2)]
+    spark.createDataFrame([*lake, *lake[:5], (100, None), (None, [["a y"]])], "table_id int, relation array<array<string>>").write.parquet(f"{tmp_path}/raw_tables.parquet")
+    found = text.w5_token_overlaps(spark, str(tmp_path))
+    held = {(t, s): set() for t, relation in lake for s, c in enumerate(relation) if c}
+    for r in text.tokens(spark, str(tmp_path)).collect():
+        held[r.table_id, r.set_id].add(r.token)
+    want = {(*q, *c, len(a & b)) for q, a in held.items() for c, b in held.items() if q[0] % 20 == 0 and q[0] != c[0] and a & b}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 500
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlaps_of_no_asked_column(spark):
+    tokens = spark.createDataFrame([(1, 0, "a"), (2, 0, "a")], "table_id int, set_id int, token string")
+    assert discover.token_overlaps(tokens, "table_id % 20 = 0").count() == 0
